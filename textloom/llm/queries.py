@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import lookalikes, splitting
+from textloom.llm import lookalikes, packing, splitting, tokenizer
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,7 +36,16 @@ def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select("item_table", "item_id", lookalikes.consistent_form(F.col("text")).alias("form"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p4_found": p4_found, "p4_forms": p4_forms}
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenizer.token_ids(table(spark, sf_dir, "documents"))
+
+
+def p8_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every document, or of its pieces where it exceeds the capacity, for each pack."""
+    return packing.pack_items(tokenizer.token_counts(table(spark, sf_dir, "documents")), table(spark, sf_dir, "pack_sizes"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p4_found": p4_found, "p4_forms": p4_forms, "p7_ids": p7_ids, "p8_bins": p8_bins}
 
 SQL = {
     "p1_found": """
