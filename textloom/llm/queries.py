@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import lookalikes, packing, splitting, tokenizer
+from textloom.llm import lookalikes, packing, residue, splitting, tokenizer
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,7 +45,17 @@ def p8_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_items(tokenizer.token_counts(table(spark, sf_dir, "documents")), table(spark, sf_dir, "pack_sizes"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p4_found": p4_found, "p4_forms": p4_forms, "p7_ids": p7_ids, "p8_bins": p8_bins}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.judged(table(spark, sf_dir, "documents")).filter("residue").select("doc_id").distinct()
+
+
+def p9_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that remain."""
+    documents = table(spark, sf_dir, "documents")
+    return residue.judged(documents).filter(~F.col("residue")).select("doc_id")
+
+
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p4_found": p4_found, "p4_forms": p4_forms, "p7_ids": p7_ids, "p8_bins": p8_bins, "p9_found": p9_found, "p9_kept": p9_kept}
 
 SQL = {
     "p1_found": """
