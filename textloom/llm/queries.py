@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import lookalikes, packing, residue, splitting, tokenizer
+from textloom.llm import lookalikes, markup, packing, residue, splitting, tokenizer
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,14 @@ def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select("item_table", "item_id", lookalikes.consistent_form(F.col("text")).alias("form"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.with_markup(table(spark, sf_dir, "rtf_converted_data"), table(spark, sf_dir, "docx_elements"))
+
+
+def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.clean_items(table(spark, sf_dir, "rtf_converted_data"), table(spark, sf_dir, "docx_elements"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.token_ids(table(spark, sf_dir, "documents"))
 
@@ -55,7 +63,7 @@ def p9_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.judged(documents).filter(~F.col("residue")).select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p4_found": p4_found, "p4_forms": p4_forms, "p7_ids": p7_ids, "p8_bins": p8_bins, "p9_found": p9_found, "p9_kept": p9_kept}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p4_found": p4_found, "p4_forms": p4_forms, "p6_found": p6_found, "p6_clean": p6_clean, "p7_ids": p7_ids, "p8_bins": p8_bins, "p9_found": p9_found, "p9_kept": p9_kept}
 
 SQL = {
     "p1_found": """

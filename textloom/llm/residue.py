@@ -58,7 +58,7 @@ _TIME = re.compile(r"^\s*[0-9]{1,2}:[0-9]{2}.{0,10}\s*-{1,2}>\s*[0-9]")
 _COUNTER = re.compile(r"^(?:[0-9]+|WEBVTT\b.*|NOTE\b.*)$")
 _STYLE = re.compile(r"</?(?:i|b|u|s|font|c|v|ruby|rt)\b[^>]*>|\{\\[^}]*\}", re.IGNORECASE)
 _SOUND = re.compile(r"^(?:[^\W\d_]{2,30}:?\s*)?(?:\[[^\[\]{}$%@<>]{1,60}\]|\([^()]{1,60}\)|\{[^{}$%@<>\\]{1,60}\}|\*[^*]{1,60}\*|[♪♫#][^♪♫]{0,80}[♪♫#]|[♪♫\s]+)$")
-_ADVERT = re.compile(r"www\.|https?://|[\w.-]+@[\w-]+\.\w|\.exa(?:m|rn)ple\b|\bVIP (?:member|rnember)\b|remove all ads|^-= .* =-|^(?:subtitles?|subs|captions?|transcript|sync(?:ed)?|translated|corrections?|downloaded|untertitel|sous-titres|subtítulos|legendas)\b[^.!?]{0,4}(?: by| from|:| par| von| por)|advertise your product|team =-", re.IGNORECASE)
+_ADVERT = re.compile(r"www\.|https?://|[\w.-]+@[\w-]+\.\w|\.exa(?:m|rn)ple\b|\bVIP (?:member|rnember)\b|remove all ads|^-= .* =-|^(?:subtitles?|subs|captions?|transcript|sync(?:ed)?|translated|corrections?|downloaded|untertitel|sous-titres|subtítulos|legendas)\b[^.!?]{0,4}(?: by| from|:| par| von| por)|advertise your product|team =-|\brip(?:ped)? by\b|\.invalid\b|^[\w-]+ support$", re.IGNORECASE)
 _NAME = re.compile(r"^\{[a-z][a-z_.]*(?:_[0-9]+)?\}[?!.]?$")  # a sound or a variable; the model tells which
 _WORD = re.compile(r"[^\W\d_]+")
 _SHAPE = [("p", PLACEHOLDER), ("f", FILLER), ("e", ERROR), ("s", SCRIPT)]
