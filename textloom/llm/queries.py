@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import lookalikes, markup, packing, residue, splitting, tokenizer
+from textloom.llm import encodings, lookalikes, markup, packing, residue, splitting, tokenizer
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,15 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_items(*[table(spark, sf_dir, t) for t in ("rtf_converted_data", "chunks", "chunk_profiles")])
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encodings.affected(table(spark, sf_dir, "rtf_source_info"), table(spark, sf_dir, "csv_source_info"))
+
+
+def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record with its text restored as far as possible, and the mark of the affected ones; one row a key."""
+    return encodings.repaired(table(spark, sf_dir, "rtf_source_info"), table(spark, sf_dir, "csv_source_info")).dropDuplicates(["item_table", "item_id"])
+
+
 def _looking(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = table(spark, sf_dir, "cell_info").select(F.lit("cell_info").alias("item_table"), F.col("cell_id").alias("item_id"), "text")
     elements = table(spark, sf_dir, "docx_elements").select(F.lit("docx_elements").alias("item_table"), F.col("element_id").alias("item_id"), F.col("content").alias("text"))
@@ -63,7 +72,7 @@ def p9_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.judged(documents).filter(~F.col("residue")).select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p4_found": p4_found, "p4_forms": p4_forms, "p6_found": p6_found, "p6_clean": p6_clean, "p7_ids": p7_ids, "p8_bins": p8_bins, "p9_found": p9_found, "p9_kept": p9_kept}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_forms": p4_forms, "p6_found": p6_found, "p6_clean": p6_clean, "p7_ids": p7_ids, "p8_bins": p8_bins, "p9_found": p9_found, "p9_kept": p9_kept}
 
 SQL = {
     "p1_found": """
