@@ -69,8 +69,8 @@ def text_quality(text: Column) -> Column:
     def count(chars: str) -> Column:
         return F.regexp_count(t, F.lit(f"[{chars}]"))
 
-    pua, lost, controls = count(r"\x{E000}-\x{F8FF}\x{F0000}-\x{FFFFD}\x{100000}-\x{10FFFD}"), count(r"\x{FFFD}"), count(r"\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{9f}")
-    valid = count(r"\x{AC00}-\x{D7A3}\x{1100}-\x{11FF}\x{3130}-\x{318F}A-Za-z0-9 \t\n\r.,!?;:'\"()\[\]{}\-–—…·•\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}")
+    pua, lost, controls = count(r"\x{E000}-\x{F8FF}\x{F0000}-\x{FFFFD}\x{100000}-\x{10FFFD}"), count(r"\x{FFFD}"), count(r"\x00-\x1f\x7f-\x{9f}\x{FFF0}-\x{FFFC}\x{FFFE}\x{FFFF}")
+    valid = count(r"\x{AC00}-\x{D7A3}\x{1100}-\x{11FF}\x{3130}-\x{318F}A-Za-z0-9 \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}.,!?;:'\"()\[\]{}\-–—…·•\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}")
     short = n < 10
     score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (1.0 - 0.8 * pua / n - 0.9 * lost / n) * (0.5 + 0.5 * valid / n)))
     score = F.when(short, F.lit(1.0)).otherwise(score)

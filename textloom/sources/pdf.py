@@ -1,0 +1,162 @@
+"""PDF: a small text reader (objects, inflated streams, text operators); no fonts are interpreted beyond their ToUnicode maps."""
+
+from __future__ import annotations
+
+import re
+import zlib
+
+_OBJECT = re.compile(rb"(\d+)\s+(\d+)\s+obj\b(.*?)\bendobj", re.DOTALL)
+_STREAM = re.compile(rb"stream\r?\n(.*?)\r?\n?endstream", re.DOTALL)
+_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+_OPERATOR = re.compile(rb"\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)|<[0-9A-Fa-f\s]*>|\[|\]|/[^\s/<>\[\]()]+|-?\d*\.?\d+|[A-Za-z'\"*]+")
+
+
+def _stream(body: bytes) -> bytes:
+    m = _STREAM.search(body)
+    if m is None:
+        return b""
+    if b"FlateDecode" in body[: m.start()]:
+        try:
+            return zlib.decompressobj().decompress(m[1])
+        except zlib.error:
+            return b""
+    return m[1]
+
+
+def _objects(data: bytes) -> dict[int, bytes]:
+    out = {int(n): body for n, _, body in _OBJECT.findall(data)}
+    for body in list(out.values()):
+        if b"/ObjStm" in body:
+            inner = _stream(body)
+            first, count = re.search(rb"/First\s+(\d+)", body), re.search(rb"/N\s+(\d+)", body)
+            if first and count:
+                heads = list(map(int, inner[: int(first[1])].split()[: 2 * int(count[1])]))
+                spots = list(zip(heads[::2], heads[1::2]))
+                for (n, at), following in zip(spots, [*spots[1:], (0, len(inner))]):
+                    out.setdefault(n, inner[int(first[1]) + at : int(first[1]) + following[1]])
+    return out
+
+
+def _literal(token: bytes) -> bytes:
+    if token[:1] == b"<":
+        digits = re.sub(rb"\s", b"", token[1:-1])
+        return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+    return re.sub(rb"\\([0-7]{1,3}|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() else _ESCAPES.get(m[1], m[1]), token[1:-1], flags=re.DOTALL)
+
+
+def _to_unicode(cmap: bytes) -> dict[int, str]:
+    out: dict[int, str] = {}
+    for block in re.findall(rb"beginbfchar(.*?)endbfchar", cmap, re.DOTALL):
+        for a, b in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", block):
+            out[int(a, 16)] = bytes.fromhex(b.decode()).decode("utf-16-be", "replace")
+    for block in re.findall(rb"beginbfrange(.*?)endbfrange", cmap, re.DOTALL):
+        for a, b, c in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", block):
+            for i in range(int(a, 16), min(int(b, 16), int(a, 16) + 65535) + 1):
+                out[i] = chr(int(c, 16) + i - int(a, 16))
+    return out
+
+
+def page_lines(content: bytes, maps: dict[bytes, dict[int, str]] | None = None) -> list[tuple[float, float, str]]:
+    """(y from the top down as negative, x, text) of each text run of a content stream."""
+    out: list[tuple[float, float, str]] = []
+    stack: list[bytes] = []
+    x = y = lx = ly = leading = 0.0
+    cmap: dict[int, str] = {}
+
+    def show(raw: bytes) -> str:
+        if cmap:
+            wide = max(cmap) > 255
+            codes = [int.from_bytes(raw[i : i + 2], "big") for i in range(0, len(raw), 2)] if wide else list(raw)
+            return "".join(cmap.get(c, "") for c in codes)
+        return raw.decode("utf-16-be", "replace")[1:] if raw.startswith(b"\xfe\xff") else raw.decode("cp1252", "replace")
+
+    def numbers(n: int) -> list[float]:
+        try:
+            return [float(v) for v in stack[-n:]]
+        except ValueError:
+            return [0.0] * n
+
+    for token in _OPERATOR.findall(content):
+        if not token[:1].isalpha() and token not in (b"'", b'"'):
+            stack.append(token)
+            continue
+        if token == b"BT":
+            x = y = lx = ly = 0.0
+        elif token in (b"Td", b"TD") and len(stack) >= 2:
+            a, b = numbers(2)
+            lx, ly = lx + a, ly + b
+            x, y = lx, ly
+            leading = -b if token == b"TD" else leading
+        elif token == b"Tm" and len(stack) >= 6:
+            lx, ly = numbers(6)[4:]
+            x, y = lx, ly
+        elif token == b"TL" and stack:
+            leading = numbers(1)[0]
+        elif token == b"T*":
+            ly -= leading
+            y = ly
+        elif token == b"Tf" and len(stack) >= 2:
+            cmap = (maps or {}).get(stack[-2], {})
+        elif token in (b"Tj", b"'", b'"') and stack:
+            if token != b"Tj":
+                ly -= leading
+                y = ly
+            out.append((-y, x, show(_literal(stack[-1]))))
+        elif token == b"TJ":
+            start = len(stack) - 1 - stack[::-1].index(b"[") if b"[" in stack else 0
+            text = ""
+            for t in stack[start:]:
+                if t[:1] in (b"(", b"<"):
+                    text += show(_literal(t))
+                elif t not in (b"[", b"]") and not t.startswith(b"/") and float(t) < -200:
+                    text += " "
+            out.append((-y, x, text))
+        stack.clear()
+    return out
+
+
+def read_pdf(data: bytes) -> tuple[str, dict[str, str]]:
+    """(text, metadata): pages with their tag, lines from the top down; empty pages are left out."""
+    objects = _objects(data)
+
+    def refs(body: bytes, key: bytes) -> list[int]:
+        m = re.search(re.escape(key) + rb"\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", body)
+        return [int(n) for n, _ in re.findall(rb"(\d+)\s+(\d+)\s+R", m[1])] if m else []
+
+    def kids(n: int, seen: set[int]) -> list[int]:
+        body = objects.get(n, b"")
+        if n in seen:
+            return []
+        seen.add(n)
+        return [k for c in refs(body, b"/Kids") for k in kids(c, seen)] if b"/Kids" in body else [n]
+
+    root = re.search(rb"/Root\s+(\d+)", data)
+    tree = refs(objects.get(int(root[1]), b""), b"/Pages") if root else []
+    pages = [p for t in tree for p in kids(t, set())] or [n for n, b in objects.items() if re.search(rb"/Type\s*/Page\b", b)]
+    maps: dict[bytes, dict[int, str]] = {}
+    for body in objects.values():
+        for name, n in re.findall(rb"(/[A-Za-z]+\d+)\s+(\d+)\s+0\s+R", body):
+            font = objects.get(int(n), b"")
+            if (u := refs(font, b"/ToUnicode")) and u[0] in objects:
+                maps[name] = _to_unicode(_stream(objects[u[0]]))
+    out = []
+    for i, p in enumerate(pages):
+        content = b"\n".join(_stream(objects.get(c, b"")) for c in refs(objects.get(p, b""), b"/Contents"))
+        rows: dict[int, list[tuple[float, str]]] = {}
+        for y, x, text in page_lines(content, maps):
+            rows.setdefault(round(y), []).append((x, text))
+        lines = [" ".join(t for _, t in sorted(r)).strip() for _, r in sorted(rows.items())]
+        if body := "\n".join(x for x in lines if x):
+            out.append(f"[Page Number: {i + 1}]\n{body}")
+    info = re.search(rb"/Info\s+(\d+)", data)
+    meta: dict[str, str] = {}
+    if info and (body := objects.get(int(info[1]))):
+        for key, name in ((b"Title", "title"), (b"Subject", "subject"), (b"Author", "author"), (b"Keywords", "keywords"), (b"CreationDate", "create_time"), (b"ModDate", "last_saved_time")):
+            if m := re.search(rb"/" + key + rb"\s*(\((?:[^()\\]|\\.)*\)|<[0-9A-Fa-f]*>)", body):
+                raw = _literal(m[1])
+                value = raw[2:].decode("utf-16-be", "replace") if raw.startswith(b"\xfe\xff") else raw.decode("cp1252", "replace")
+                if d := re.match(r"D:(\d{4})(\d\d)(\d\d)(\d\d)(\d\d)(\d\d)", value):
+                    value = "{}-{}-{} {}:{}:{}".format(*d.groups())
+                if value:
+                    meta[name] = value
+    return "\n\n".join(out), meta
