@@ -56,7 +56,7 @@ def table_regions(cells: DataFrame) -> DataFrame:
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         filled = pdf[pdf["value"].fillna("").str.strip() != ""]
-        bordered = pdf[pdf["bordered"].fillna(False)]
+        bordered = pdf[pdf["bordered"].eq(True)]
         boxes = components(set(zip(bordered["row"], bordered["col"]))) + components(set(zip(filled["row"], filled["col"])))
         merged = merge_boxes(boxes)
         return pd.DataFrame([(pdf["sheet"].iloc[0], i, *b) for i, b in enumerate(merged)], columns=["sheet", "region", "min_row", "min_col", "max_row", "max_col"])

@@ -37,3 +37,5 @@ def p5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_instants": p2_instants, "p5_found": p5_found, "p5_records": p5_records}
+
+SQL: dict[str, str] = {}
