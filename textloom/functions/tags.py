@@ -9,6 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textloom.functions.lets import let
+
 
 def quoted(text: str) -> str:
     """A literal as a pattern that Java, RE2 and Python read alike."""
@@ -77,20 +79,15 @@ def find_numbers(text: Column, kind: str = "page", tags: Tags = DEFAULT) -> Colu
 def find_spans(text: Column, kind: str = "page", tags: Tags = DEFAULT) -> Column:
     """array<struct<number, start, end>>, 0-based and half-open: offsets are running lengths of the pieces between."""
     p = "(?i)" + tags.numbered(kind)
-    found = F.regexp_extract_all(text, F.lit(p), 0)
-    numbers = find_numbers(text, kind, tags)
-    between = F.transform(F.split(text, p), lambda x: F.length(x))
-    steps = F.transform(found, lambda t, i: F.struct(F.get(between, i).alias("gap"), F.length(t).alias("size"), F.get(numbers, i).alias("number")))
     start = F.struct(F.array().cast("array<struct<number:int,start:int,end:int>>").alias("out"), F.lit(0).alias("at"))
-    return F.aggregate(
-        steps,
-        start,
-        lambda acc, s: F.struct(
-            F.concat(acc["out"], F.array(F.struct(s["number"].alias("number"), (acc["at"] + s["gap"]).alias("start"), (acc["at"] + s["gap"] + s["size"]).alias("end")))).alias("out"),
-            (acc["at"] + s["gap"] + s["size"]).alias("at"),
-        ),
-        lambda acc: acc["out"],
-    )
+
+    def step(acc: Column, s: Column) -> Column:
+        first = acc["at"] + F.length(s["gap"])
+        last = first + F.length(s["tag"])
+        return F.struct(F.array_append(acc["out"], F.struct(s["number"].alias("number"), first.alias("start"), last.alias("end"))).alias("out"), last.alias("at"))
+
+    pieces = F.arrays_zip(F.split(text, p).alias("gap"), F.regexp_extract_all(text, F.lit(p), 0).alias("tag"), find_numbers(text, kind, tags).alias("number"))
+    return let(pieces, lambda z: F.aggregate(F.filter(z, lambda s: s["tag"].isNotNull()), start, step, lambda acc: acc["out"]))
 
 
 def has_markers(text: Column, kind: str = "page", tags: Tags = DEFAULT) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textloom.functions.lets import let
+
 # whitespace as Unicode has it, spelled out because engines disagree on \s
 SPACE = r"\t\n\x0b\f\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
@@ -109,22 +111,30 @@ def find_chunk_position(chunk: Column, text: Column, start: Column) -> Column:
 
 def line_starts(text: Column) -> Column:
     """0-based offsets of the lines; a line break at the very end opens no line."""
-    t = F.coalesce(text, F.lit(""))
-    lengths = F.transform(F.split(t, "\n"), lambda line: F.length(line) + 1)
-    starts = F.aggregate(lengths, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-    return F.filter(starts, lambda s, i: (i == 0) | (s < F.length(t)))
+
+    def of(lines: Column) -> Column:
+        n = F.size(lines)
+        kept = F.when((n > 1) & (F.element_at(lines, -1) == ""), F.slice(lines, 1, F.greatest(n - 1, F.lit(1)))).otherwise(lines)
+        before = F.transform(F.slice(kept, 1, F.size(kept)), lambda line: F.length(line) + 1)
+        start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("at"))
+        return F.aggregate(before, start, lambda acc, n: F.struct(F.array_append(acc["out"], acc["at"]).alias("out"), (acc["at"] + n).alias("at")), lambda acc: acc["out"])
+
+    return let(F.split(F.coalesce(text, F.lit("")), "\n"), of)
 
 
 def position_to_line(position: Column, starts: Column) -> Column:
     """1-based line of a position."""
-    return F.greatest(F.lit(1), F.size(F.filter(starts, lambda s: s <= position)))
+    return let(position, lambda at: F.greatest(F.lit(1), F.size(F.filter(starts, lambda s: s <= at))))
 
 
 def overlap_length(a: Column, b: Column, longest: Column) -> Column:
     """Longest suffix of a, up to `longest`, that is a prefix of b."""
-    m = F.least(longest, F.length(a), F.length(b))
-    fits = F.filter(F.sequence(F.lit(0), m), lambda k: (k > 0) & (F.substr(a, F.length(a) - k + 1, k) == F.substr(b, F.lit(1), k)))
-    return F.coalesce(F.array_max(fits), F.lit(0))
+
+    def of(m: Column) -> Column:
+        fits = F.filter(F.sequence(F.lit(0), m), lambda k: (k > 0) & F.startswith(b, F.right(a, k)))
+        return F.coalesce(F.array_max(fits), F.lit(0))
+
+    return let(F.least(longest, F.length(a), F.length(b)), of)
 
 
 def reconstruct(chunks: Column, overlap: int) -> Column:

@@ -40,10 +40,13 @@ def replace_tags(documents: DataFrame, images: DataFrame, engine: Engine, key: s
     figures = read_images(todo, engine).filter(F.col("figure").isNotNull())
     mine = wanted.join(figures, "path").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("path", "figure"))).alias("__figures"))
     joined = documents.join(mine, key, "left")
-    parts = F.split(F.col(text), tags.image)
-    paths = image_paths(F.col(text), tags)
-    tagged = F.transform(paths, lambda p: F.coalesce(F.try_element_at(F.col("__figures"), p), F.concat(F.lit(tags.image_prefix), p, F.lit(tags.image_suffix))))
-    pieces = F.transform(parts, lambda x, i: F.concat(x, F.coalesce(F.get(tagged, i), F.lit(""))))
+    gaps, paths = F.split(F.col(text), tags.image), image_paths(F.col(text), tags)
+
+    def piece(z):
+        kept = F.concat(F.lit(tags.image_prefix), z["path"], F.lit(tags.image_suffix))
+        return F.concat(z["gap"], F.when(z["path"].isNull(), F.lit("")).otherwise(F.coalesce(F.try_element_at(F.col("__figures"), z["path"]), kept)))
+
+    pieces = F.transform(F.arrays_zip(gaps.alias("gap"), paths.alias("path")), piece)
     return joined.withColumn(text, F.when(F.col("__figures").isNull(), F.col(text)).otherwise(F.array_join(pieces, ""))).drop("__figures")
 
 

@@ -23,6 +23,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.functions.lets import let
 from textloom.functions.zones import ABBREVIATIONS, region_names
 
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
@@ -131,24 +132,19 @@ def _wall(reading: Column, default_zone: Column) -> Column:
     return F.when((year >= 1) & (hour24 < 24), F.try_make_timestamp(year, month, number(2, 1), hour24, number(4, 0), seconds, _zone(part(8), default_zone)))
 
 
-def _let(value: Column, body) -> Column:
-    """body(value) with value evaluated once. Plain nesting would copy `value` into every use of it, and
-    Catalyst's merging of projections does the same, until the generated code is too large to compile."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def read_time(value: Column, locale: Column, zone: Column) -> Column:
     """struct<instant timestamp, form string> of a time: the UTC instant, and the name of the form that
-    was read (null where no instant is known)."""
+    was read (null where no instant is known). Every step is bound once: plain nesting would copy it into each use,
+    and Catalyst's merging of projections does the same, until the generated code is too large to compile."""
 
     def of_text(text: Column) -> Column:
-        return _let(_form(text, locale), lambda form: of_form(text, form))
+        return let(_form(text, locale), lambda form: of_form(text, form))
 
     def of_form(text: Column, form: Column) -> Column:
-        wall = _let(_reading(text, form), lambda reading: _wall(reading, zone))
-        return _let(F.coalesce(_absolute(text, form), wall), lambda made: F.struct(made.alias("instant"), F.when(made.isNotNull(), form).alias("form")))
+        wall = let(_reading(text, form), lambda reading: _wall(reading, zone))
+        return let(F.coalesce(_absolute(text, form), wall), lambda made: F.struct(made.alias("instant"), F.when(made.isNotNull(), form).alias("form")))
 
-    return _let(_stripped(value), of_text)
+    return let(_stripped(value), of_text)
 
 
 def normalise_times(df: DataFrame, columns: list[str], locale: str = "locale", zone: str = "source_zone", suffix: str = "_utc", form_suffix: str = "_form") -> DataFrame:

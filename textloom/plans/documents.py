@@ -424,9 +424,8 @@ def parse_html_table(spark, sf):
 def tag_regions(spark, sf):
     """Protected image and page tags of each record, merged as spans by the fold."""
     page = F.transform(tags.find_spans(F.col("text")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("page_tag").alias("kind")))
-    found = F.regexp_extract_all("text", F.lit(tags.DEFAULT.image), 0)
-    gaps = F.split("text", tags.DEFAULT.image)
-    step = F.transform(found, lambda t, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), F.length(t).alias("n")))
+    zipped = F.arrays_zip(F.split("text", tags.DEFAULT.image).alias("gap"), F.regexp_extract_all("text", F.lit(tags.DEFAULT.image), 0).alias("tag"))
+    step = F.transform(F.filter(zipped, lambda z: z["tag"].isNotNull()), lambda z: F.struct(F.length(z["gap"]).alias("gap"), F.length(z["tag"]).alias("n")))
     start = F.struct(F.array().cast("array<struct<start:int,end:int,kind:string>>").alias("out"), F.lit(0).alias("at"))
     image = F.aggregate(step, start, lambda a, s: F.struct(F.concat(a["out"], F.array(F.struct((a["at"] + s["gap"]).alias("start"), (a["at"] + s["gap"] + s["n"]).alias("end"), F.lit("image_tag").alias("kind")))).alias("out"), (a["at"] + s["gap"] + s["n"]).alias("at")), lambda a: a["out"])
     d = _converted(spark, sf).select("convert_id", regions.merge_spans_column(F.concat(page, image)).alias("m")).filter(F.size("m") > 0)
