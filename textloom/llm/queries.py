@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import encodings, lookalikes, markup, packing, residue, splitting, tokenizer
+from textloom.llm import encodings, lookalikes, markup, packing, residue, splitting, tokenizer, wrappers
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markup.with_markup(table(spark, sf_dir, "rtf_converted_data"), table(spark, sf_dir, "docx_elements"))
 
 
+def p6_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wrappers of each host, with the number of distinct streams that each stands for."""
+    streams = wrappers.with_streams(markup.items(table(spark, sf_dir, "rtf_converted_data"), table(spark, sf_dir, "docx_elements")))
+    return wrappers.infer_wrappers(streams).groupBy("host", "wrapper", "is_markup").agg(F.count("*").alias("streams"))
+
+
 def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markup.clean_items(table(spark, sf_dir, "rtf_converted_data"), table(spark, sf_dir, "docx_elements"))
 
@@ -72,7 +78,7 @@ def p9_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.judged(documents).filter(~F.col("residue")).select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_forms": p4_forms, "p6_found": p6_found, "p6_clean": p6_clean, "p7_ids": p7_ids, "p8_bins": p8_bins, "p9_found": p9_found, "p9_kept": p9_kept}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_forms": p4_forms, "p6_found": p6_found, "p6_wrappers": p6_wrappers, "p6_clean": p6_clean, "p7_ids": p7_ids, "p8_bins": p8_bins, "p9_found": p9_found, "p9_kept": p9_kept}
 
 SQL = {
     "p1_found": """
