@@ -5,7 +5,7 @@ import struct
 import zipfile
 import zlib
 
-from textloom.sources import html, ole, ooxml, pdf, rtf, text_files
+from textloom.sources import html, ole, ooxml, pdf, rtf, text_files, xls
 from textloom.sources.readers import read_documents, read_file, scan
 
 W = 'xmlns:w="http://w" xmlns:a="http://a" xmlns:r="http://r" xmlns:c="http://c" xmlns:p="http://p"'
@@ -88,6 +88,19 @@ def test_hwp_and_compound_file():
     assert text == "본문\n<table border='1'>\n<tr><td>가</td><td>나</td></tr>\n</table>\n끝"
 
 
+def test_xls():
+    def rec(kind, body=b""):
+        return struct.pack("<HH", kind, len(body)) + body
+
+    first = struct.pack("<II", 2, 2) + struct.pack("<HB", 3, 0) + b"key" + struct.pack("<HB", 4, 0) + b"na"  # the second string goes on, as wide text
+    sheet = rec(xls.BOF) + rec(xls.LABELSST, struct.pack("<HHHI", 0, 0, 0, 0)) + rec(xls.LABELSST, struct.pack("<HHHI", 0, 1, 0, 1)) + rec(xls.NUMBER, struct.pack("<HHHd", 1, 0, 0, 7.0)) + rec(xls.RK, struct.pack("<HHHI", 1, 1, 1, 44197 << 2 | 2)) + rec(xls.MULRK, struct.pack("<HHHIHIH", 2, 0, 0, 150 << 2 | 3, 0, (5 << 2) | 2, 1)) + rec(xls.EOF)
+    head = rec(xls.XF, struct.pack("<HH", 0, 0)) + rec(xls.XF, struct.pack("<HH", 0, 14)) + rec(xls.SST, first) + rec(xls.CONTINUE, b"\x01" + "가나".encode("utf-16-le"))
+    bound = lambda at: rec(xls.BOUNDSHEET, struct.pack("<IHBB", at, 0, 1, 0) + b"S")
+    size = len(rec(xls.BOF) + head + bound(0) + rec(xls.EOF))
+    data = ole.write_compound({"Workbook": rec(xls.BOF) + head + bound(size) + rec(xls.EOF) + sheet})
+    assert xls.read_xls(data)[0] == "[Sheet: S]\n\n| key | na가나 |\n| --- | --- |\n| 7 | 2021-01-01 |\n| 1.5 | 5 |"
+
+
 def test_doc_sniffing():
     word = b"\xec\xa5" + bytes(510) + "Hello world 안녕".encode("utf-16-le")
     assert "Hello world 안녕" in read_file(ole.write_compound({"WordDocument": word}), "doc")[0]

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from textloom.functions.blocks import METADATA_LABELS, MORE_LABELS
 from textloom.functions.text import CATEGORIES, clean_code_text, clean_text, extension, file_category, is_supported
-from textloom.sources import html, ole, ooxml, pdf, rtf, text_files
+from textloom.sources import html, ole, ooxml, pdf, rtf, text_files, xls
 
 Reader = Callable[[bytes, str], tuple[str, dict[str, str]]]
 
@@ -45,6 +45,7 @@ def read_doc(data: bytes, ext: str) -> tuple[str, dict[str, str]]:
 READERS: dict[str, Reader] = {
     "docx": lambda d, e: ooxml.read_docx(d) if d.startswith(b"PK") else read_doc(d, e),
     "xlsx": lambda d, e: ooxml.read_xlsx(d),
+    "xls": lambda d, e: xls.read_xls(d),
     "pptx": lambda d, e: ooxml.read_pptx(d),
     "hwpx": lambda d, e: ooxml.read_hwpx(d),
     "rtf": lambda d, e: rtf.read_rtf(d),
