@@ -87,9 +87,17 @@ def passages(text: str) -> Iterator[str]:
             yield bare
 
 
+_CODE = re.compile(r"\b(?=[0-9a-fA-F]*[0-9])[0-9a-fA-F]{4,12}\b")
+
+
+def generic(passage: str) -> str:
+    """The passage with reference codes and numbers made equal."""
+    return re.sub(r"[0-9]+", "0", _CODE.sub("code0", passage))
+
+
 def features(passage: str) -> np.ndarray:
     """Hashed features of a passage: words, pairs of words, word endings and the shapes of trusted patterns."""
-    words = _WORD.findall(passage.lower())[:60]
+    words = _WORD.findall(_CODE.sub(" code ", passage).lower())[:60]
     keys = {"w" + w for w in words} | {f"b{a} {b}" for a, b in zip(words, words[1:])} | {"t" + w[-3:] for w in words if len(w) > 4}
     keys |= {"s" + n for n, p in _SHAPE if p.search(passage)}
     if _repeats(passage):
@@ -110,7 +118,7 @@ def fit(texts: list[str], rounds: int = ROUNDS) -> np.ndarray:
     for text in texts:
         own: Counter = Counter()
         for p in passages(text):
-            key = re.sub(r"[0-9]+", "0", p)
+            key = generic(p)
             if key not in seen:
                 seen[key] = len(rows)
                 rows.append(features(p))
@@ -154,7 +162,7 @@ class Judge:
         self.kept: dict[str, float] = {}
 
     def score(self, passage: str) -> float:
-        key = re.sub(r"[0-9]+", "0", passage)
+        key = generic(passage)
         if key not in self.kept:
             if len(self.kept) > 200_000:
                 self.kept.clear()
