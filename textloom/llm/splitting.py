@@ -204,10 +204,10 @@ def with_limits(items: DataFrame, profiles: DataFrame, profile: str = "profile",
     """Add __size and __overlap of each item's profile; null and unknown profiles mean the default. The profiles'
     table is a fixed handful of rows; whether it is broadcast is left to its measured size."""
     p = profiles.groupBy(F.col("profile").alias("__profile")).agg(F.max("chunk_size").alias("__size"), F.max("chunk_overlap").alias("__overlap"))
-    fallback = p.filter(F.col("__profile") == default).select(F.col("__size").alias("__s"), F.col("__overlap").alias("__o"), F.lit(default).alias("__d"))
+    fallback = profiles.filter(F.col("profile") == default)
     known = items.withColumn("__p", F.coalesce(F.col(profile), F.lit(default))).join(p, F.col("__p") == F.col("__profile"), "left")
-    filled = known.withColumn("__d", F.lit(default)).join(fallback, "__d", "left")
-    return filled.withColumn("__size", F.coalesce("__size", "__s")).withColumn("__overlap", F.coalesce("__overlap", "__o")).drop("__p", "__profile", "__d", "__s", "__o")
+    size, overlap = (F.coalesce("__" + n, fallback.agg(F.max("chunk_" + n)).scalar()) for n in ("size", "overlap"))
+    return known.withColumn("__size", size).withColumn("__overlap", overlap).drop("__p", "__profile")
 
 
 def items_to_split(converted: DataFrame, chunks: DataFrame, profiles: DataFrame) -> DataFrame:
