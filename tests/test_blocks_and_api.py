@@ -160,3 +160,37 @@ def test_arriving_files(spark, tmp_path):
     (src / "b.md").write_text("short")
     chunk_arrivals(spark, str(src), out, state).awaitTermination()
     assert n == 2 and spark.read.parquet(out).count() == n + 1
+
+
+def test_table_and_graphic_tests(spark):
+    prose = "This is a long sentence of body text that was taken for a cell by mistake, with commas, and many more words in it."
+    df = spark.createDataFrame([(1, [["a", "bb"], ["cc", "dd"]]), (2, [["a", "b"]]), (3, [["a"], ["b"]]), (4, [[prose, "x"], ["yy", "zz"]]), (5, [["x" * 900, "b"], ["c", "d"]]), (6, [["", None, ""], ["", "", ""], ["", "", "q"]]), (7, []), (8, [["", "word " * 17] for _ in range(4)])], "i int, rows array<array<string>>")
+    zero, hundred = F.lit(0.0), F.lit(100.0)
+    got = {r["i"]: r["t"] for r in df.select("i", geometry.table_test(F.col("rows"), zero, zero, hundred, hundred, F.lit(False)).alias("t")).collect()}
+    assert got[1]["valid"] and got[1]["reason"] == "valid" and got[1]["confidence"] == 1.0
+    assert [got[i]["reason"] for i in (2, 3, 5, 7)] == ["too_few_rows", "too_few_cols", "extreme_long_cell", "empty_data"] and not got[5]["valid"]
+    assert got[4]["reason"] == "has_paragraph_cells" or got[4]["reason"] == "contains_paragraph_text" or got[4]["confidence"] < 1
+    assert got[8]["reason"] == "contains_paragraph_text" or got[8]["reason"] == "invalid_2col_table"
+    assert "low_fill_ratio" in got[6]["reason"] and got[6]["confidence"] < 1
+
+    def graphic(*v):
+        return one(spark, geometry.graphic_score(*[F.lit(float(x)) for x in v]))[0]
+
+    assert graphic(20, 5, 0, 5, 4, 200, 200, 600, 800)["is_graphic"] and not graphic(0, 0, 9, 1, 1, 200, 200, 600, 800)["is_graphic"] and graphic(20, 5, 0, 5, 4, 590, 790, 600, 800)["score"] == 0.0
+
+
+def test_geometry_joins(spark):
+    def frame(rows, extra):
+        return spark.createDataFrame([(1, 1, *r) for r in rows], f"doc_id int, page_no int, x0 double, y0 double, x1 double, y1 double, {extra}")
+
+    tables = frame([(0.0, 0.0, 100.0, 100.0, 7)], "table_id int")
+    notes = frame([(0.0, 105.0, 50.0, 115.0, 1, "※ note"), (0.0, 105.0, 50.0, 115.0, 2, "no note"), (0.0, 150.0, 50.0, 160.0, 3, "* far")], "text_id int, content string")
+    assert [tuple(r) for r in geometry.footnotes(notes, tables).collect()] == [(7, 1, "※ note")]
+    images = frame([(0.0, 0.0, 60.0, 60.0, 1), (0.0, 200.0, 60.0, 260.0, 2), (0.0, 300.0, 60.0, 360.0, 2), (0.0, 400.0, 10.0, 410.0, 3)], "xref int")
+    assert [r["xref"] for r in geometry.page_images(images, tables).collect()] == [2]
+    regions = frame([(0.0, 0.0, 200.0, 20.0, 9, None), (0.0, 0.0, 200.0, 20.0, 9, "text"), (0.0, 0.0, 20.0, 20.0, 9, None)], "items int, text string")
+    assert geometry.vector_text(regions).count() == 1
+    spans = one(spark, geometry.cell_spans(F.array(F.lit(0.0), F.lit(0.0), F.lit(50.0)), F.array(F.lit(0.0), F.lit(20.0), F.lit(21.0)), F.array(F.lit(100.0), F.lit(50.0), F.lit(100.0)), F.array(F.lit(20.0), F.lit(40.0), F.lit(40.0))))[0]
+    assert [tuple(s) for s in spans] == [(0, 0, 1, 2), (1, 0, 1, 1), (1, 1, 1, 1)]
+    texts = frame([(0.0, 62.0, 60.0, 80.0, 5)], "text_id int")
+    assert [tuple(r) for r in geometry.captions(texts, frame([(0.0, 0.0, 60.0, 60.0, 9)], "image_id int")).collect()] == [(9, 5)]
