@@ -72,7 +72,7 @@ def test_values():
 
 
 def test_rejects(spark):
-    layouts = spark.createDataFrame([(1, 0, "integer", True), (1, 1, "text", None), (2, 0, "text", False)], "layout_id int, col_index int, value_type string, required boolean")
+    layouts = spark.createDataFrame([(1, 0, "integer", True), (1, 1, "text", None), (2, 0, "text", False)], "layout_id int, col_index int, value_type string, required boolean").selectExpr("*", "concat('c', col_index) AS col_name")
     sources = spark.createDataFrame([(1, "comma", True, 1, "x"), (1, "comma", True, 1, "x"), (2, None, True, 1, "x"), (3, "\\t", None, 1, "x"), (4, "|", False, None, "x")], SOURCES)
     rows = [
         (1, 1, 1, "n,t", "r"), (2, 1, 2, "5,x", "r"), (3, 1, 3, "5", "r"), (3, 1, 3, "5", "r"), (4, 1, 4, 'a"b,c', "r"), (5, 1, 5, "x,y", "r"), (6, 1, 6, "   ", "r"), (7, 1, 7, None, "r"), (8, 1, 8, "", "r"),
@@ -82,4 +82,15 @@ def test_rejects(spark):
     assert sorted(map(tuple, R.rejects(records, sources, layouts).collect())) == [(3, "column_count"), (4, "quoting"), (5, "value"), (11, "column_count"), (13, "value"), (15, "quoting")]
     good = {r["record_id"]: r["outcome"]["fields"] for r in R.read_records(records, sources, layouts).filter("outcome.reason IS NULL").collect()}
     assert good[2] == ["5", "x"] and good[10] == ["1", "x"] and good[12] == ["1", "x"] and 1 not in good and 6 not in good and 9 not in good
+    typed = {r["record_id"]: r["columns"] for r in R.typed_records(records, sources, layouts).collect()}
+    assert [tuple(c) for c in typed[2]] == [("c0", 5, None, None, None, None), ("c1", None, None, None, None, "x")] and len(typed) == len(good)
     assert R.rejects(records.limit(0), sources.limit(0), layouts.limit(0)).count() == 0
+
+
+def test_typed_columns(spark):
+    import datetime
+    from decimal import Decimal
+
+    df = spark.createDataFrame([([" 12 ", "-1.50", "2020-02-29", "N", " a b ", ""], "integer! decimal date flag text integer", ["a", "b", "c", "d", "e", "f"])], "fields array<string>, layout string, names array<string>")
+    got = [tuple(c) for c in df.select(R.typed_columns(df.fields, df.layout, df.names)).first()[0]]
+    assert got == [("a", 12, None, None, None, None), ("b", None, Decimal("-1.5"), None, None, None), ("c", None, None, datetime.date(2020, 2, 29), None, None), ("d", None, None, None, False, None), ("e", None, None, None, None, "a b"), ("f", None, None, None, None, None)]

@@ -39,11 +39,30 @@ def delimiter_of(name: Column) -> Column:
 
 
 def layouts_as_text(layouts: DataFrame) -> DataFrame:
-    """(layout_id, columns, layout): one line per layout, `kind:required` of its columns in order. A layout's
-    few columns are one short text, which the grammar caches by value."""
-    cols = F.sort_array(F.collect_set(F.struct("col_index", "value_type", F.coalesce("required", F.lit(False)).alias("required"))))
-    text = F.array_join(F.transform("cols", lambda x: F.concat(x["value_type"], F.when(x["required"], "!").otherwise(""))), " ")
-    return layouts.groupBy("layout_id").agg(cols.alias("cols")).select("layout_id", F.size("cols").alias("columns"), text.alias("layout"))
+    """(layout_id, columns, layout, names): the kinds of a layout's columns in order, `!` where one is required, as one short
+    text which the grammar caches by value, and their names."""
+    cols = F.sort_array(F.collect_set(F.struct("col_index", "value_type", F.coalesce("required", F.lit(False)).alias("required"), "col_name")))
+    text = F.array_join(F.transform("cols", lambda x: F.concat(F.coalesce(x["value_type"], F.lit("text")), F.when(x["required"], "!").otherwise(""))), " ")
+    return layouts.groupBy("layout_id").agg(cols.alias("cols")).select("layout_id", F.size("cols").alias("columns"), text.alias("layout"), F.transform("cols", lambda x: x["col_name"]).alias("names"))
+
+
+def typed_columns(fields: Column, layout: Column, names: Column) -> Column:
+    """array<struct<name, integer, decimal, date, flag, text>>: each field in the column of its kind, trimmed; the others
+    are null, and all of them where the field is empty."""
+    kinds = F.transform(F.split(layout, " "), lambda k: F.regexp_replace(k, "!", ""))
+
+    def typed(z: Column) -> Column:
+        value = F.nullif(F.trim(z["field"]), F.lit(""))
+
+        def of(kind: str, made: Column) -> Column:
+            return F.when(z["kind"] == kind, made)
+
+        return F.struct(
+            z["name"].alias("name"), of("integer", value.try_cast("bigint")).alias("integer"), of("decimal", value.try_cast("decimal(38,12)")).alias("decimal"),
+            of("date", F.try_to_date(value, "yyyy-MM-dd")).alias("date"), of("flag", value == "Y").alias("flag"), F.when(~z["kind"].isin("integer", "decimal", "date", "flag"), value).alias("text"),
+        )
+
+    return F.transform(F.arrays_zip(fields.alias("field"), kinds.alias("kind"), names.alias("name")), typed)
 
 
 def _shown_delimiter(first: Column, columns: Column) -> Column:
@@ -56,12 +75,12 @@ def _shown_delimiter(first: Column, columns: Column) -> Column:
 
 
 def source_formats(sources: DataFrame, layouts: DataFrame, records: DataFrame) -> DataFrame:
-    """(csv_id, has_header, delimiter, layout) of each source, once."""
+    """(csv_id, has_header, delimiter, layout, names) of each source, once."""
     distinct = sources.select("csv_id", delimiter_of(F.col("delimiter")).alias("delimiter"), F.coalesce("has_header", F.lit(False)).alias("has_header"), "layout_id").dropDuplicates(["csv_id"])
     formats = distinct.join(layouts_as_text(layouts), "layout_id", "left").drop("layout_id")
     unnamed = formats.filter(F.col("delimiter").isNull()).select("csv_id")
     first = records.filter(F.col("record_no") == 1).join(unnamed, "csv_id", "left_semi").groupBy("csv_id").agg(F.min("raw_record").alias("first"))
-    return formats.join(first, "csv_id", "left").select("csv_id", "has_header", F.coalesce("delimiter", _shown_delimiter(F.col("first"), F.col("columns"))).alias("delimiter"), "layout")
+    return formats.join(first, "csv_id", "left").select("csv_id", "has_header", F.coalesce("delimiter", _shown_delimiter(F.col("first"), F.col("columns"))).alias("delimiter"), "layout", "names")
 
 
 def _parse_batches(with_fields: bool):
@@ -91,14 +110,20 @@ def _parse_batches(with_fields: bool):
 
 
 def read_records(records: DataFrame, sources: DataFrame, layouts: DataFrame, with_fields: bool = True) -> DataFrame:
-    """(record_id, csv_id, record_no, outcome): each data record with its fields, or with the reason, column
+    """(record_id, csv_id, record_no, layout, names, outcome): each data record with its fields, or with the reason, column
     and offset of its failure. The join on the source's key is left to Spark: it broadcasts the formats while
     they are small by their measured size, else shuffles, and splits hot sources (AQE skew join)."""
     formats = source_formats(sources, layouts, records)
     data = records.filter(~F.coalesce("raw_record", F.lit("")).rlike(r"^[ \r\n]*$")).select("record_id", "csv_id", "record_no", "raw_record")
     joined = data.join(formats, "csv_id", "left").filter(~(F.coalesce("has_header", F.lit(False)) & F.col("record_no").eqNullSafe(1)))
     outcome = _parse_batches(with_fields)("raw_record", F.coalesce("delimiter", F.lit(",")), "layout")
-    return joined.select("record_id", "csv_id", "record_no", outcome.alias("outcome"))
+    return joined.select("record_id", "csv_id", "record_no", "layout", "names", outcome.alias("outcome"))
+
+
+def typed_records(records: DataFrame, sources: DataFrame, layouts: DataFrame) -> DataFrame:
+    """(record_id, csv_id, record_no, columns) of each valid record, once."""
+    valid = read_records(records, sources, layouts).filter(F.col("outcome.reason").isNull()).dropDuplicates(["record_id"])
+    return valid.select("record_id", "csv_id", "record_no", typed_columns(F.col("outcome.fields"), F.col("layout"), F.col("names")).alias("columns"))
 
 
 def rejects(records: DataFrame, sources: DataFrame, layouts: DataFrame) -> DataFrame:

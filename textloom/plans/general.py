@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from textloom.operators import records, timestamps
 
@@ -31,9 +30,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The valid records, each once, as fields in the order of their layout."""
-    read = records.read_records(*_csv(spark, sf_dir))
-    return read.filter(F.col("outcome.reason").isNull()).select("record_id", "csv_id", "record_no", F.col("outcome.fields").alias("fields")).dropDuplicates(["record_id"])
+    """The valid records, each once, as the typed columns of their layout."""
+    return records.typed_records(*_csv(spark, sf_dir))
 
 
 QUERIES = {"p2_found": p2_found, "p2_instants": p2_instants, "p5_found": p5_found, "p5_records": p5_records}
