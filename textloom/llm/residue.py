@@ -64,8 +64,13 @@ _WORD = re.compile(r"[^\W\d_]+")
 _SHAPE = [("p", PLACEHOLDER), ("f", FILLER), ("e", ERROR), ("s", SCRIPT)]
 
 
+def shapes(passage: str) -> str:
+    """Letters of the trusted patterns that a passage shows; empty for none."""
+    return "".join(n for n, p in _SHAPE if p.search(passage)) + ("r" if _repeats(passage) else "")
+
+
 def trusted(passage: str) -> bool:
-    return bool(PLACEHOLDER.search(passage) or FILLER.search(passage) or ERROR.search(passage) or SCRIPT.search(passage) or _repeats(passage))
+    return bool(shapes(passage))
 
 
 def _repeats(passage: str) -> bool:
@@ -95,14 +100,37 @@ def generic(passage: str) -> str:
     return re.sub(r"[0-9]+", "0", _CODE.sub("code0", passage))
 
 
-def features(passage: str) -> np.ndarray:
-    """Hashed features of a passage: words, pairs of words, word endings and the shapes of trusted patterns."""
-    words = _WORD.findall(_CODE.sub(" code ", passage).lower())[:60]
-    keys = {"w" + w for w in words} | {f"b{a} {b}" for a, b in zip(words, words[1:])} | {"t" + w[-3:] for w in words if len(w) > 4}
-    keys |= {"s" + n for n, p in _SHAPE if p.search(passage)}
-    if _repeats(passage):
-        keys.add("sr")
-    return np.unique(np.fromiter((zlib.crc32(k.encode("utf-8", "replace")) % BUCKETS for k in keys), dtype=np.int64, count=len(keys)))
+_SLOTS: dict = {}  # slots of words and pairs seen before; a cache only
+
+
+def _slot(key: str) -> int:
+    return zlib.crc32(key.encode("utf-8", "replace")) % BUCKETS
+
+
+def _slots_of(key: str | tuple[str, str]) -> tuple[int, ...]:
+    """Slots of a word (itself and its ending) or of a pair of words."""
+    found = _SLOTS.get(key)
+    if found is None:
+        if len(_SLOTS) > 1_000_000:
+            _SLOTS.clear()
+        if isinstance(key, tuple):
+            found = (_slot(f"b{key[0]} {key[1]}"),)
+        else:
+            found = (_slot("w" + key), _slot("t" + key[-3:])) if len(key) > 4 else (_slot("w" + key),)
+        _SLOTS[key] = found
+    return found
+
+
+def features(passage: str, shown: str) -> np.ndarray:
+    """Hashed features of a passage: words, pairs of words, word endings and the trusted patterns that are `shown`."""
+    words = _WORD.findall(_CODE.sub(" code ", passage).lower())
+    slots: set[int] = set()
+    for w in words:
+        slots.update(_slots_of(w))
+    for pair in zip(words, words[1:]):
+        slots.update(_slots_of(pair))
+    slots.update(_slot("s" + n) for n in shown)
+    return np.fromiter(sorted(slots), dtype=np.int64, count=len(slots))
 
 
 def is_neutral(passage: str) -> bool:
@@ -114,6 +142,7 @@ def fit(texts: list[str], rounds: int = ROUNDS) -> np.ndarray:
     seen: dict[str, int] = {}
     rows: list[np.ndarray] = []
     marks: list[bool] = []
+    counts: list[bool] = []
     records: list[Counter] = []
     for text in texts:
         own: Counter = Counter()
@@ -121,9 +150,11 @@ def fit(texts: list[str], rounds: int = ROUNDS) -> np.ndarray:
             key = generic(p)
             if key not in seen:
                 seen[key] = len(rows)
-                rows.append(features(p))
-                marks.append(trusted(p))
-            if marks[seen[key]] or not is_neutral(p):
+                shown = shapes(p)
+                rows.append(features(p, shown))
+                marks.append(bool(shown))
+                counts.append(bool(shown) or not is_neutral(p))
+            if counts[seen[key]]:
                 own[seen[key]] += 1
         if own:
             records.append(own)
@@ -159,22 +190,28 @@ class Judge:
 
     def __init__(self, weight: np.ndarray, margin: float = 2.0):
         self.weight, self.margin = weight, margin
-        self.kept: dict[str, float] = {}
+        self.kept: dict[str, tuple[float, str, bool]] = {}
 
-    def score(self, passage: str) -> float:
+    def look(self, passage: str) -> tuple[float, str, bool]:
+        """(log odds, trusted patterns shown, whether the passage is neutral)"""
         key = generic(passage)
-        if key not in self.kept:
+        found = self.kept.get(key)
+        if found is None:
             if len(self.kept) > 200_000:
                 self.kept.clear()
-            f = features(passage)
-            self.kept[key] = float(self.weight[f].sum() / math.sqrt(max(1, len(f))))
-        return self.kept[key]
+            shown = shapes(passage)
+            f = features(passage, shown)
+            found = self.kept[key] = (float(self.weight[f].sum() / math.sqrt(max(1, len(f)))), shown, is_neutral(passage) or not _WORD.search(passage))
+        return found
+
+    def score(self, passage: str) -> float:
+        return self.look(passage)[0]
 
     def kind(self, passage: str) -> str:
-        score = self.score(passage)
-        if (score > 0 and trusted(passage)) or (score > self.margin and (_NAME.match(passage) or not is_neutral(passage))):
+        score, shown, neutral = self.look(passage)
+        if (score > 0 and shown) or (score > self.margin and (_NAME.match(passage) or not neutral)):
             return "residue"
-        return "neutral" if is_neutral(passage) or not _WORD.search(passage) else "dialogue"
+        return "neutral" if neutral else "dialogue"
 
     def is_residue(self, text: str | None) -> bool:
         """Whether a record has residue and no dialogue. Garbled and foreign dialogue is made of unknown words, whose odds
@@ -184,7 +221,7 @@ class Judge:
             kind = self.kind(p)
             if kind == "dialogue":
                 return False
-            sure |= kind == "residue" and bool(trusted(p) or _NAME.match(p))
+            sure |= kind == "residue" and bool(self.look(p)[1] or _NAME.match(p))
         return sure
 
 
