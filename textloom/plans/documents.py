@@ -88,8 +88,8 @@ _VALID = r"\x{AC00}-\x{D7A3}\x{1100}-\x{11FF}\x{3130}-\x{318F}A-Za-z0-9 \x{a0}\x
     WITH d AS (SELECT DISTINCT source_id, coalesce(content, '') AS t FROM rtf_source_info),
     n AS (SELECT source_id, length(t) AS total, {_count(_PUA)} AS pua, {_count(_LOST)} AS lost, {_count(_CONTROL)} AS controls, {_count(_VALID)} AS valid FROM d),
     q AS (SELECT *, CASE WHEN total < 10 THEN 1.0 ELSE least(1.0, greatest(0.0, (1.0 - 0.8 * pua / total - 0.9 * lost / total) * (0.5 + 0.5 * valid / total))) END AS score FROM n)
-    SELECT source_id, total, CASE WHEN total < 10 THEN 0 ELSE pua END AS pua, CASE WHEN total < 10 THEN 0 ELSE lost END AS replacement, CASE WHEN total < 10 THEN 0 ELSE controls END AS controls,
-        CASE WHEN total < 10 THEN total ELSE valid END AS valid, CAST(floor(score * 1000 + 0.500001) AS BIGINT) AS score_permille, total >= 10 AND (score < 0.7 OR pua / greatest(1, total) >= 0.1) AS needs_ocr FROM q""")
+    SELECT source_id, total::INTEGER AS total, (CASE WHEN total < 10 THEN 0 ELSE pua END)::INTEGER AS pua, (CASE WHEN total < 10 THEN 0 ELSE lost END)::INTEGER AS replacement, (CASE WHEN total < 10 THEN 0 ELSE controls END)::INTEGER AS controls,
+        (CASE WHEN total < 10 THEN total ELSE valid END)::INTEGER AS valid, CAST(floor(score * 1000 + 0.500001) AS BIGINT) AS score_permille, total >= 10 AND (score < 0.7 OR pua / greatest(1, total) >= 0.1) AS needs_ocr FROM q""")
 def text_quality(spark, sf):
     q = text.text_quality(F.col("content"))
     d = table(spark, sf, "rtf_source_info").dropDuplicates(["source_id"]).select("source_id", q.alias("q"))

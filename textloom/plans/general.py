@@ -36,4 +36,30 @@ def p5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p2_found": p2_found, "p2_instants": p2_instants, "p5_found": p5_found, "p5_records": p5_records}
 
-SQL: dict[str, str] = {}
+
+def _p5_sql() -> str:
+    """The rules of p5_found in SQL, one branch a delimiter so that every pattern is a constant."""
+    marks = [(",", ","), (";", ";"), ("|", "\\|"), ("\t", "\\t")]
+    sound, fields = [], []
+    for d, e in marks:
+        char = f"chr({ord(d)})"
+        one = f'("(?:[^"]|"")*"|[^"{e}]*)'
+        sound.append(f"WHEN d = {char} THEN regexp_full_match(t, '{one}(?:{e}{one})*')")
+        fields.append(f"WHEN d = {char} THEN regexp_extract_all(t || {char}, '{one}{e}', 1)")
+    widths = " ".join(f"WHEN length(f.t) - length(replace(f.t, chr({ord(d)}), '')) + 1 = l.n THEN chr({ord(d)})" for d in ",;\t|")
+    return f"""
+    WITH l AS (SELECT layout_id, count(*) AS n, list(value_type ORDER BY col_index) AS kinds, list(required ORDER BY col_index) AS needed FROM csv_layouts GROUP BY layout_id),
+    f AS (SELECT csv_id, min(raw_record) AS t FROM csv_records WHERE record_no = 1 GROUP BY csv_id),
+    s AS (SELECT DISTINCT csv_id, has_header, layout_id, CASE lower(trim(delimiter, ' ')) WHEN 'comma' THEN ',' WHEN 'semicolon' THEN ';' WHEN 'pipe' THEN '|' WHEN 'tab' THEN chr(9) WHEN '\\t' THEN chr(9) ELSE delimiter END AS d FROM csv_source_info),
+    o AS (SELECT s.csv_id, has_header, l.n, kinds, needed, coalesce(s.d, CASE {widths} ELSE ',' END) AS d FROM s JOIN l USING (layout_id) LEFT JOIN f USING (csv_id)),
+    r AS (SELECT DISTINCT record_id, raw_record AS t, o.* FROM csv_records JOIN o USING (csv_id) WHERE NOT regexp_full_match(coalesce(raw_record, ''), '[ \r\n]*') AND NOT (has_header AND record_no = 1)),
+    q AS (SELECT *, CASE {" ".join(sound)} END AS sound, CASE {" ".join(fields)} END AS fields FROM r),
+    v AS (SELECT *, list_transform(fields, lambda x: trim(CASE WHEN x[1] = '"' THEN replace(substr(x, 2, length(x) - 2), '""', '"') ELSE x END, ' ')) AS v FROM q),
+    w AS (SELECT *, list_transform(range(1, n + 1), lambda i: CASE WHEN v[i] = '' THEN NOT needed[i] WHEN kinds[i] = 'integer' THEN regexp_full_match(v[i], '[+-]?[0-9]+') AND try_cast(v[i] AS BIGINT) IS NOT NULL
+        WHEN kinds[i] = 'decimal' THEN regexp_full_match(v[i], '[+-]?[0-9]+(\\.[0-9]+)?') WHEN kinds[i] = 'date' THEN regexp_full_match(v[i], '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND try_cast(v[i] AS DATE) IS NOT NULL
+        WHEN kinds[i] = 'flag' THEN v[i] IN ('Y', 'N') ELSE true END) AS fits FROM v),
+    x AS (SELECT record_id, CASE WHEN NOT sound THEN 'quoting' WHEN len(fields) != n THEN 'column_count' WHEN NOT list_bool_and(fits) THEN 'value' END AS reason FROM w)
+    SELECT record_id, reason FROM x WHERE reason IS NOT NULL"""
+
+
+SQL: dict[str, str] = {"p5_found": _p5_sql()}
