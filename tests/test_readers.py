@@ -88,6 +88,18 @@ def test_hwp_and_compound_file():
     assert text == "본문\n<table border='1'>\n<tr><td>가</td><td>나</td></tr>\n</table>\n끝"
 
 
+def test_hwp_pictures_and_recovery():
+    png = b"\x89PNG\r\n\x1a\n" + bytes(20)
+    info = b"".join(record(ole.BIN_DATA, 1, struct.pack("<HHH", 1, n, 3) + "png".encode("utf-16-le")) for n in (1, 2))
+    body = record(ole.PARA_TEXT, 1, "앞".encode("utf-16-le")) + record(ole.PICTURE, 2, bytes(79) + struct.pack("<H", 2) + bytes(9))
+    packed = zlib.compressobj(wbits=-15)
+    data = ole.write_compound({"FileHeader": bytes(256), "DocInfo": info, "BodyText/Section0": body, "BinData/BIN0002.png": packed.compress(png) + packed.flush()})
+    assert ole.read_hwp(data)[0] == "앞\n[Image:BIN0002.png]\n=== Extracted Images (Not Inline) ===\n[Image:BIN0001.png]"
+    assert ole.picture_bytes(ole.CompoundFile(data), "bin0002.PNG")[: len(png)] == png
+    broken = b"xx" + zlib.compress(("복구할 수 있는 본문 " * 10).encode("utf-16-le"))
+    assert "복구할 수 있는 본문" in ole.read_hwp(broken)[0]
+
+
 def test_xls():
     def rec(kind, body=b""):
         return struct.pack("<HH", kind, len(body)) + body

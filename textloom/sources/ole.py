@@ -203,11 +203,45 @@ def paragraph_text(payload: bytes) -> str:
     return struct.pack(f"<{len(out)}H", *out).decode("utf-16-le", "replace")
 
 
-PARA_TEXT, CTRL_HEADER, LIST_HEADER, TABLE = 67, 71, 72, 77
+BIN_DATA, PARA_TEXT, CTRL_HEADER, LIST_HEADER, TABLE, PICTURE = 18, 67, 71, 72, 77, 85
+_PICTURE_SPOTS = (79, 8, 71)  # fixed values: where a picture's record may hold the number of its data, in order
+
+
+def pictures(doc_info: bytes) -> list[str]:
+    """Names of the embedded streams, in the order in which pictures number them."""
+    out = []
+    for tag, _, payload in records(doc_info):
+        if tag == BIN_DATA and len(payload) >= 2:
+            kind = struct.unpack_from("<H", payload)[0] & 0xF
+            if kind == 1 and len(payload) >= 6:
+                number, size = struct.unpack_from("<HH", payload, 2)
+                ext = payload[6 : 6 + 2 * size].decode("utf-16-le", "replace")
+                out.append(f"BIN{number:04X}.{ext}")
+            else:
+                out.append("")
+    return out
+
+
+def picture_of(payload: bytes, names: list[str]) -> str:
+    """The stream that a picture record points to, empty if none is in range."""
+    for at in (*_PICTURE_SPOTS, *range(0, max(0, len(payload) - 1), 2)):
+        if at + 2 <= len(payload):
+            n, = struct.unpack_from("<H", payload, at)
+            if 1 <= n <= len(names) and names[n - 1]:
+                return names[n - 1]
+    return ""
 
 
-def hwp_section(data: bytes) -> list[str]:
-    """Paragraphs of a body section in order; tables as HTML."""
+def picture_bytes(ole: CompoundFile, name: str) -> bytes:
+    """A picture's bytes, inflated where they are packed."""
+    path = next((p for p in ole.paths if p.lower() == f"bindata/{name}".lower()), None)
+    raw = (ole.read(path) or b"") if path else b""
+    known = (b"\xff\xd8", b"\x89PNG", b"GIF8", b"BM")
+    return raw if raw.startswith(known) else inflate(raw)
+
+
+def hwp_section(data: bytes, names: list[str] | None = None, used: set[str] | None = None) -> list[str]:
+    """Paragraphs of a body section in order; tables as HTML, pictures as tags."""
     out: list[str] = []
     table: dict[tuple[int, int], tuple[list[str], int, int]] | None = None
     cell: list[str] | None = None
@@ -238,19 +272,54 @@ def hwp_section(data: bytes) -> list[str]:
             table[row, col] = (cell, max(1, down), max(1, across))
         elif tag == PARA_TEXT and (text := paragraph_text(payload).strip()):
             (cell if cell is not None else out).append(text)
+        elif tag == PICTURE and names and (name := picture_of(payload, names)):
+            (cell if cell is not None else out).append(f"[Image:{name}]")
+            if used is not None:
+                used.add(name)
     close()
     return out
 
 
+def recovered_text(data: bytes, least: int = 50) -> str:
+    """What a damaged file still shows: text runs of its inflated streams, then of its raw bytes."""
+    found: dict[str, None] = {}
+    pieces = [data]
+    for m in re.finditer(rb"\x78[\x01\x9c\xda]", data):
+        try:
+            pieces.append(zlib.decompressobj().decompress(data[m.start() :], 1 << 24))
+        except zlib.error:
+            continue
+    for piece in reversed(pieces):
+        for run in _RUN.finditer(piece[: len(piece) // 2 * 2].decode("utf-16-le", "replace")):
+            if text := run[0].strip():
+                found.setdefault(text)
+    joined = "\n".join(found)
+    return joined if len(joined) >= least else ""
+
+
 def read_hwp(data: bytes) -> tuple[str, dict[str, str]]:
-    ole = CompoundFile(data)
+    """(text, metadata): the body's sections, pictures in place and those that stand nowhere at the end. A file whose
+    container is damaged gives what can be recovered."""
+    try:
+        ole = CompoundFile(data)
+    except (ValueError, struct.error, IndexError):
+        if text := recovered_text(data):
+            return text, {}
+        raise
     head = ole.read("FileHeader") or b""
     packed = len(head) > 36 and bool(head[36] & 1)
-    names = sorted((n for n in ole.paths if re.fullmatch(r"BodyText/Section\d+", n)), key=lambda n: int(re.search(r"\d+$", n)[0]))
+
+    def stream(name: str) -> bytes:
+        raw = ole.read(name) or b""
+        return inflate(raw) if packed else raw
+
+    names, used = pictures(stream("DocInfo")), set()
+    sections = sorted((n for n in ole.paths if re.fullmatch(r"BodyText/Section\d+", n)), key=lambda n: int(re.search(r"\d+$", n)[0]))
     out: list[str] = []
-    for n in names:
-        raw = (ole.read(n) or b"").rstrip(b"\0") if not packed else ole.read(n) or b""
-        out += hwp_section(inflate(raw) if packed else ole.read(n) or b"")
+    for n in sections:
+        out += hwp_section(stream(n), names, used)
+    if rest := [n for n in names if n and n not in used]:
+        out += ["=== Extracted Images (Not Inline) ===", *(f"[Image:{n}]" for n in rest)]
     return "\n".join(out), summary(ole.read("\x05HwpSummaryInformation") or b"")
 
 
