@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 FIT_RECORDS = 8_000  # bound of the sample that the classifier is fitted on
 BUCKETS = 1 << 16
 ROUNDS = 6
+MOST = 0.6  # share of a passage from which on a trusted pattern is the passage, and not quoted in it
+COVERED = 6.0  # log odds that this is worth beside what the model has learned
 
 # fixed values: patterns that are trusted to mark residue
 PLACEHOLDER = re.compile(
@@ -49,7 +51,7 @@ ERROR = re.compile(
     r"|\bHTTP/[0-9.]+ [0-9]{3}|^(?:Server|Content-Length|Content-Type|Retry-After|Connection): |\{\"(?:error|code|message|status)\"|<Error>|<(?:html|head|body|title|noscript|center|h1)\b"
     r"|Traceback \(most recent|^File \"/|^[A-Z][A-Za-z]+(?:Error|Exception)\b|\bFatal error\b|Uncaught (?:Error|Exception)|\bexit status [0-9]+|\berrno [0-9]+|connection refused|\bNullPointer|segmentation fault"
     r"|page not found|seite nicht gefunden|página no encontrada|página não encontrada|page introuvable|페이지를 찾을 수 없습니다|existiert nicht mehr|ha caducado o es incorrecto|n'existe plus|요청하신 .*삭제되었습니다|não existe mais"
-    r"|session has expired|log in again|please (?:log|sign) in|access denied\.?$|download limit|upgrade your account|try again later|something went wrong on|been notified and are looking|down for maintenance|could not connect to the database|is empty or damaged",
+    r"|session has expired|log in again|please (?:log|sign) in|access denied\.?$|download limit|upgrade your account|try again later|something went wrong on|been notified and are looking|down for maintenance|could not connect to the database|is empty or damaged|do not have permission to (?:view|access|open)|\brequest id: [0-9a-f]+|^ray (?:id:? )?[0-9a-f]{4,}$|^ref(?:erence)?:? [0-9a-f]{4,}$|not authori[sz]ed to|come back in [0-9]+ hours",
     re.IGNORECASE,
 )
 SCRIPT = re.compile(r"javascript|자바스크립트|cookies and scripts|requires scripts|scripts could not|browser is not supported|checking your browser|prove that you are human|solve the puzzle|captcha|may take a few seconds|\bbundle-[0-9a-f]+\.js", re.IGNORECASE)
@@ -65,8 +67,16 @@ _SHAPE = [("p", PLACEHOLDER), ("f", FILLER), ("e", ERROR), ("s", SCRIPT)]
 
 
 def shapes(passage: str) -> str:
-    """Letters of the trusted patterns that a passage shows; empty for none."""
-    return "".join(n for n, p in _SHAPE if p.search(passage)) + ("r" if _repeats(passage) else "")
+    """Letters of the trusted patterns that a passage shows, and `c` if they are most of it; empty for none."""
+    letters, covered = "", 0
+    for n, p in _SHAPE:
+        found = [m.end() - m.start() for m in p.finditer(passage)]
+        if found:
+            letters += n
+            covered = max(covered, sum(found))
+    if _repeats(passage):
+        return letters + "rc"
+    return letters + "c" if letters and covered >= MOST * len(passage) else letters
 
 
 def trusted(passage: str) -> bool:
@@ -168,7 +178,7 @@ def fit(texts: list[str], rounds: int = ROUNDS) -> np.ndarray:
     record_of = np.repeat(np.arange(n), [len(r) for r in records])
     line_of = np.array([k for own in records for k in own], dtype=np.int64)
     times = np.minimum(np.array([v for own in records for v in own.values()], dtype=np.float64), 3)
-    anchored = np.array([any(marks[k] for k in own) for own in records])
+    anchored = np.array([3 * sum(n for k, n in own.items() if marks[k]) >= sum(own.values()) for own in records])
     q = np.where(positive, 1.0, 0.0)  # unlabelled records start as dialogue; the E step moves those that look like the positive ones
     for _ in range(rounds):
         mass = np.bincount(line_of, times * q[record_of], minlength=len(rows))
@@ -180,7 +190,7 @@ def fit(texts: list[str], rounds: int = ROUNDS) -> np.ndarray:
         line = np.bincount(np.repeat(np.arange(len(rows)), lengths), odds[flat], minlength=len(rows)) / np.sqrt(np.maximum(lengths, 1))
         share = math.log((q.sum() + 1) / (n - q.sum() + 1))
         total = np.bincount(record_of, times * line[line_of], minlength=n) + share
-        q = np.where(positive, 1.0, anchored / (1 + np.exp(-np.clip(total, -40, 40))))  # without any trusted passage there is no evidence of residue, only of oddness
+        q = np.where(positive, 1.0, anchored / (1 + np.exp(-np.clip(total, -40, 40))))  # with fewer than a third of trusted passages there is evidence of oddness only
     weight[:BUCKETS], weight[BUCKETS] = odds, prior
     return weight
 
@@ -201,7 +211,8 @@ class Judge:
                 self.kept.clear()
             shown = shapes(passage)
             f = features(passage, shown)
-            found = self.kept[key] = (float(self.weight[f].sum() / math.sqrt(max(1, len(f)))), shown, is_neutral(passage) or not _WORD.search(passage))
+            score = float(self.weight[f].sum() / math.sqrt(max(1, len(f)))) + (COVERED if "c" in shown else 0.0)
+            found = self.kept[key] = (score, shown, is_neutral(passage) or not _WORD.search(passage))
         return found
 
     def score(self, passage: str) -> float:
