@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -178,9 +179,14 @@ _LOADED: dict[str, BytePairEncoder] = {}
 
 
 def encoder(path: str) -> BytePairEncoder:
-    """The worker's encoder, read once."""
+    """The worker's encoder, read once. Where the path is not there, the installed vocabulary of the same name is taken."""
     if path not in _LOADED:
-        _LOADED[path] = BytePairEncoder(path)
+        found = path
+        if not os.path.exists(path):
+            import public_tokenizers
+
+            found = public_tokenizers.path(os.path.basename(path))
+        _LOADED[path] = BytePairEncoder(found)
     return _LOADED[path]
 
 
