@@ -127,6 +127,17 @@ def test_pdf():
     assert pdf.read_pdf(data) == ("[Page Number: 1]\nHello\nWorld again", {"title": "Test", "create_time": "2020-01-02 03:04:05"})
 
 
+def test_pdf_ruled_table():
+    lines = b"".join(b"%d %d m %d %d l S " % v for v in [(100, 600, 300, 600), (100, 620, 300, 620), (100, 640, 300, 640), (100, 600, 100, 640), (200, 600, 200, 640), (300, 600, 300, 640)])
+    cells = b"".join(b"BT 1 0 0 1 %d %d Tm (%s) Tj ET " % v for v in [(105, 625, b"A"), (205, 625, b"B <"), (105, 605, b"1"), (205, 605, b"2"), (230, 605, b"3")])
+    stream = b"q 1 0 0 1 0 10 cm " + lines + cells + b"Q BT 100 700 Td (Above) Tj ET BT 100 500 Td (Below) Tj ET"
+    texts, tables = pdf.page_items(stream)
+    assert len(tables) == 6 and len(texts) == 7
+    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [3 0 R] /Count 1 >>", b"<< /Type /Page /Contents 4 0 R >>", b"<< /Length %d >>\nstream\n" % len(stream) + stream + b"\nendstream"]
+    data = b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (i + 1, o) for i, o in enumerate(objects)) + b"trailer << /Root 1 0 R >>"
+    assert pdf.read_pdf(data)[0] == "[Page Number: 1]\nAbove\n<table border='1'>\n<tr><th>A</th><th>B &lt;</th></tr>\n<tr><td>1</td><td>2 3</td></tr>\n</table>\nBelow"
+
+
 def test_text_and_csv():
     assert text_files.decode("한글".encode("cp949")) == ("한글", "cp949")
     assert text_files.decode_marked("a,b".encode("utf-16"))[0] == "a,b"
