@@ -36,3 +36,22 @@ def test_matcher_is_exact_and_fast():
         assert W.Matcher(wrapper).fits(s, frozenset(s)) == bool(pattern.fullmatch("".join(s)))
     many = [["?", "a"] for _ in range(60)] + ["c"]
     assert not W.Matcher(many).fits(["a"] * 59 + ["b", "c"], frozenset("abc")) and W.Matcher(many).fits(["a"] * 59 + ["c"], frozenset("ac"))
+
+
+def test_all_streams_of_a_host_are_aligned():
+    plain = [[f"<a{i}>", f"<b{i}>"] for i in range(450)]
+    rare = [["<p>", "#T", "</p>"], ["<p>", "#T", "<br>", "</p>"]]
+    wrappers = W.infer(plain + rare)
+    assert len(wrappers) == 451 and W.shown(wrappers[-1]) == "<p> #T ( <br> )? </p>"
+
+
+def test_long_blocks_are_whole():
+    assert W.streams_of("<b>x</b>" * 50) == [["<b>", "#T", "</b>"] * 50]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(TOKEN, min_size=1, max_size=12), st.lists(TOKEN, min_size=1, max_size=12))
+def test_no_pair_that_aligns_is_turned_away(one, two):
+    a, b = W.folded(one), W.folded(two)
+    if W.aligned(a, b) is not None:
+        assert W.may_align(W.Counter(W.parts_of(a)), len(a), W.Counter(W.parts_of(b)), len(b))

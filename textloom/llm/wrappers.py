@@ -6,27 +6,24 @@ then aligned with each wrapper so far; where enough of them agree, what only one
 the wrapper is generalised; else the stream opens a wrapper of its own. A wrapper has no alternatives, so it reads as the
 template that its blocks were written by.
 
-Only distinct streams are gathered, never texts, and of one host at most `FITTED` for the alignment; every further stream is
-matched against the wrappers, and stands for itself if none fits, so none is left out.
+Only distinct streams are gathered, never texts, and all of a host's take part in the alignment, so each has a wrapper. One task
+does a host: its time grows with the square of the host's distinct streams.
 """
 
 from __future__ import annotations
 
-import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from textloom.llm.markup import tokens
 
-FITTED = 400  # distinct streams of a host that are aligned
-LONGEST = 60  # tokens of a stream; the rest of a longer block is a stream of its own
 AGREE = 0.6  # share of tokens that must agree for two streams to have one wrapper
 TEXT = "#T"
 
@@ -56,8 +53,6 @@ def streams_of(text: str) -> list[list[str]]:
                 out.append([])
             if block.strip() and (not out[-1] or out[-1][-1] != TEXT):
                 out[-1].append(TEXT)
-            if len(out[-1]) >= LONGEST:
-                out.append([])
 
     at = 0
     for kind, start, end in tokens(text):
@@ -90,10 +85,22 @@ def folded(stream: list[str]) -> list:
     return out
 
 
+def parts_of(wrapper: list) -> list[str]:
+    """The parts of a wrapper or folded stream as text, whether optional or not, for alignment."""
+    return [str(x[1] if x[:1] == ["?"] else x) for x in wrapper]
+
+
+def may_align(a: Counter, n_a: int, b: Counter, n_b: int) -> bool:
+    """Whether n parts, so counted, can agree in enough for one wrapper, whatever their order. Spares `aligned` its work on
+    most pairs and never turns one away that it would take."""
+    need = AGREE * max(n_a, n_b)
+    return min(n_a, n_b) >= need and sum(min(n, b[x]) for x, n in a.items() if x in b) >= need
+
+
 def aligned(wrapper: list, stream: list) -> list | None:
     """The wrapper generalised so that it fits the stream too, None if they agree in too little."""
-    left, right = [x[1] if x[:1] == ["?"] else x for x in wrapper], stream
-    a, b = [str(x) for x in left], [str(x) for x in right]
+    right = stream
+    a, b = parts_of(wrapper), [str(x) for x in right]
     matcher = SequenceMatcher(None, a, b, autojunk=False)
     same = sum(m.size for m in matcher.get_matching_blocks())
     markup = sum(a[m.a + k] != TEXT for m in matcher.get_matching_blocks() for k in range(m.size))
@@ -130,6 +137,7 @@ class Matcher:
 
     def __init__(self, wrapper: list):
         self.wrapper = wrapper
+        self.parts, self.size = Counter(parts_of(wrapper)), len(wrapper)
         self.needed, self.allowed = frozenset(self._tokens(wrapper, False)), frozenset(self._tokens(wrapper, True))
 
     def _tokens(self, x, optional: bool) -> Iterator[str]:
@@ -171,12 +179,15 @@ class Matcher:
 def infer(streams: list[list[str]]) -> list[list]:
     """Wrappers of a host's streams, which come the most frequent first."""
     matchers: list[Matcher] = []
-    for stream in streams[:FITTED]:
+    for stream in streams:
         kinds = frozenset(stream)
         if any(m.fits(stream, kinds) for m in matchers):
             continue
         short = folded(stream)
+        parts = Counter(parts_of(short))
         for i, m in enumerate(matchers):
+            if not may_align(m.parts, m.size, parts, len(short)):
+                continue
             general = aligned(m.wrapper, short)
             if general is not None and len(general) <= 2 * max(len(m.wrapper), len(short)) and (new := Matcher(general)).fits(stream, kinds):
                 matchers[i] = new
@@ -197,34 +208,26 @@ def with_streams(items: DataFrame, text: str = "text") -> DataFrame:
     return items.withColumn("stream", F.explode(_streams(F.col(text)))).drop(text)
 
 
+def assigned(streams: list[list[str]]) -> Iterator[tuple[str, str]]:
+    """(stream, wrapper) of each of a host's streams, which come the most frequent first."""
+    matchers = [Matcher(w) for w in infer(streams)]
+    texts = [shown(m.wrapper) for m in matchers]
+    for stream in streams:
+        kinds = frozenset(stream)
+        i = next(i for i, m in enumerate(matchers) if m.fits(stream, kinds))
+        yield " ".join(stream), texts[i]
+
+
 def infer_wrappers(streams: DataFrame) -> DataFrame:
-    """(host, stream, wrapper, is_markup) of (host, stream, ...). Rows are counted by stream before anything is grouped by
-    host, so a host with a third of all rows sends its most frequent distinct streams only; the rest are matched where they
-    are. A wrapper is markup if it has more than text slots; the check on the stream itself makes that exact."""
+    """(host, stream, wrapper, is_markup) of (host, stream, ...), each distinct stream of a host once. Rows are counted by
+    stream before anything is grouped by host, so a host with a third of all rows sends its distinct streams only. A
+    wrapper is markup if it has more than text slots; the check on the stream itself makes that exact."""
     counts = streams.groupBy("host", "stream").agg(F.count("*").alias("n"))
-    first = W.partitionBy("host").orderBy(F.desc("n"), "stream")
-    frequent = counts.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= FITTED)
 
     def learn(frame: pd.DataFrame) -> pd.DataFrame:
-        ordered = frame.sort_values("rank")["stream"]
-        return pd.DataFrame([(frame["host"].iloc[0], [json.dumps(w) for w in infer([s.split(" ") for s in ordered])])], columns=["host", "wrappers"])
-
-    learned = frequent.groupBy("host").applyInPandas(learn, "host string, wrappers array<string>")
-
-    @F.pandas_udf(StringType())
-    def wrapper_of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        known: dict[tuple[str, ...], list[Matcher]] = {}
-        for series, lists in batches:
-            out = []
-            for text, wrappers in zip(series, lists):
-                key = tuple(wrappers)
-                if key not in known:
-                    known[key] = [Matcher(json.loads(w)) for w in key]
-                stream = text.split(" ")
-                kinds = frozenset(stream)
-                m = next((m for m in known[key] if m.fits(stream, kinds)), None)
-                out.append(text if m is None else shown(m.wrapper))
-            yield pd.Series(out, dtype=object)
-
-    assigned = counts.join(learned, "host")
-    return assigned.select("host", "stream", wrapper_of("stream", "wrappers").alias("wrapper"), F.col("stream").rlike(r"(^| )(?!#T( |$))").alias("is_markup"))
+        ordered = frame.sort_values(["n", "stream"], ascending=[False, True])["stream"]
+        out = pd.DataFrame(assigned([s.split(" ") for s in ordered]), columns=["stream", "wrapper"])
+        return out.assign(host=frame["host"].iloc[0])
+
+    learned = counts.groupBy("host").applyInPandas(learn, "host string, stream string, wrapper string")
+    return learned.select("*", F.col("stream").rlike(r"(^| )(?!#T( |$))").alias("is_markup"))
