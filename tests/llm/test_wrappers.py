@@ -55,3 +55,21 @@ def test_no_pair_that_aligns_is_turned_away(one, two):
     a, b = W.folded(one), W.folded(two)
     if W.aligned(a, b) is not None:
         assert W.may_align(W.Counter(W.parts_of(a)), len(a), W.Counter(W.parts_of(b)), len(b))
+
+
+def test_markup_is_decided_on_the_wrapper():
+    streams = [["<p>", "#T", "</p>"], ["<p>", "</p>"], ["#T", "<b>"], ["#T"]]
+    got = {s: (w, m) for s, w, m in W.assigned(streams)}
+    assert got == {"<p> #T </p>": ("<p> ( #T )? </p>", True), "<p> </p>": ("<p> ( #T )? </p>", True), "#T <b>": ("#T <b>", True), "#T": ("#T", False)}
+    assert list(W.assigned([["#T", "<b>", "#T", "<i>"], ["#T"]]))[1] == ("#T", "#T", False)
+
+
+def test_items_are_found_by_their_wrappers(spark):
+    from textloom.llm.markup import with_markup
+
+    converted = spark.createDataFrame([(1, "notes", "a <b>b</b>"), (2, "notes", "plain"), (3, None, "**x** y"), (4, "notes", None)], "convert_id long, profile string, content string")
+    elements = spark.createDataFrame([(7, "text", "<p>x</p>"), (8, "table", "<p>x</p>"), (9, "text", "x < y")], "element_id long, element_type string, content string")
+    found = with_markup(converted, elements)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas" in plan and "RLIKE" not in plan  # the wrappers decide, not a pattern on the stream
+    assert {tuple(r) for r in found.collect()} == {("rtf_converted_data", 1), ("rtf_converted_data", 3), ("docx_elements", 7)}

@@ -287,7 +287,7 @@ def items(converted: DataFrame, elements: DataFrame) -> DataFrame:
 
 def with_markup(converted: DataFrame, elements: DataFrame) -> DataFrame:
     """(item_table, item_id) of every item that holds markup, each once: the token streams of its blocks are aligned with
-    those of its host, and an item is one whose wrapper has more than text slots."""
+    those of its host, and an item is one with a block whose wrapper has more than text slots (`wrappers.assigned`)."""
     from textloom.llm.wrappers import infer_wrappers, with_streams
 
     streams = checkpointed(with_streams(items(converted, elements)))

@@ -208,26 +208,25 @@ def with_streams(items: DataFrame, text: str = "text") -> DataFrame:
     return items.withColumn("stream", F.explode(_streams(F.col(text)))).drop(text)
 
 
-def assigned(streams: list[list[str]]) -> Iterator[tuple[str, str]]:
-    """(stream, wrapper) of each of a host's streams, which come the most frequent first."""
+def assigned(streams: list[list[str]]) -> Iterator[tuple[str, str, bool]]:
+    """(stream, wrapper, is_markup) of each of a host's streams, which come the most frequent first. A wrapper with more than
+    text slots is markup; where all of that is optional and the stream has none of it, the stream is still plain text."""
     matchers = [Matcher(w) for w in infer(streams)]
     texts = [shown(m.wrapper) for m in matchers]
     for stream in streams:
         kinds = frozenset(stream)
         i = next(i for i, m in enumerate(matchers) if m.fits(stream, kinds))
-        yield " ".join(stream), texts[i]
+        yield " ".join(stream), texts[i], bool((matchers[i].allowed - {TEXT}) & kinds)
 
 
 def infer_wrappers(streams: DataFrame) -> DataFrame:
     """(host, stream, wrapper, is_markup) of (host, stream, ...), each distinct stream of a host once. Rows are counted by
-    stream before anything is grouped by host, so a host with a third of all rows sends its distinct streams only. A
-    wrapper is markup if it has more than text slots; the check on the stream itself makes that exact."""
+    stream before anything is grouped by host, so a host with a third of all rows sends its distinct streams only."""
     counts = streams.groupBy("host", "stream").agg(F.count("*").alias("n"))
 
     def learn(frame: pd.DataFrame) -> pd.DataFrame:
         ordered = frame.sort_values(["n", "stream"], ascending=[False, True])["stream"]
-        out = pd.DataFrame(assigned([s.split(" ") for s in ordered]), columns=["stream", "wrapper"])
+        out = pd.DataFrame(assigned([s.split(" ") for s in ordered]), columns=["stream", "wrapper", "is_markup"])
         return out.assign(host=frame["host"].iloc[0])
 
-    learned = counts.groupBy("host").applyInPandas(learn, "host string, stream string, wrapper string")
-    return learned.select("*", F.col("stream").rlike(r"(^| )(?!#T( |$))").alias("is_markup"))
+    return counts.groupBy("host").applyInPandas(learn, "host string, stream string, wrapper string, is_markup boolean")
