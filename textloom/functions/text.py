@@ -131,8 +131,13 @@ def overlap_length(a: Column, b: Column, longest: Column) -> Column:
     """Longest suffix of a, up to `longest`, that is a prefix of b."""
 
     def of(m: Column) -> Column:
-        fits = F.filter(F.sequence(F.lit(0), m), lambda k: (k > 0) & F.startswith(b, F.right(a, k)))
-        return F.coalesce(F.array_max(fits), F.lit(0))
+        first = F.substring(b, 1, 1)
+
+        def in_tail(tail: Column) -> Column:
+            # only where the first character agrees is a suffix cut out and compared
+            return F.array_max(F.transform(F.regexp_extract_all(tail, F.lit("(?s)."), F.lit(0)), lambda c, i: F.when((c == first) & F.startswith(b, F.right(tail, m - i)), m - i)))
+
+        return F.coalesce(let(F.right(a, m), in_tail), F.lit(0))
 
     return let(F.least(longest, F.length(a), F.length(b)), of)
 

@@ -7,6 +7,7 @@ rule in both languages."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.functions import blocks, tags, text
@@ -132,6 +133,17 @@ def overlap_length(spark, sf):
     return d.select("doc_id", F.length("a").cast("long").alias("length_a"), text.overlap_length(F.col("a"), F.col("b"), F.lit(300)).cast("long").alias("shared"))
 
 
+@query("""
+    WITH c AS (SELECT DISTINCT chunk_id, convert_id, chunk_index, coalesce(text, '') AS b FROM chunks WHERE convert_id IS NOT NULL),
+    p AS (SELECT chunk_id, b, lag(b) OVER (PARTITION BY convert_id ORDER BY chunk_index, chunk_id) AS a FROM c)
+    SELECT chunk_id, length(b) AS length_b, coalesce(list_max(list_filter(range(1, least(length(a), length(b)) + 1), lambda k: right(a, k) = left(b, k))), 0) AS shared FROM p WHERE a IS NOT NULL""")
+def chunk_overlaps(spark, sf):
+    """What each chunk shares with the chunk before it in its record, whole texts compared."""
+    c = table(spark, sf, "chunks").filter(F.col("convert_id").isNotNull()).dropDuplicates(["chunk_id"]).withColumn("b", F.coalesce("text", F.lit("")))
+    p = c.withColumn("a", F.lag("b").over(W.partitionBy("convert_id").orderBy("chunk_index", "chunk_id"))).filter(F.col("a").isNotNull())
+    return p.select("chunk_id", F.length("b").cast("long").alias("length_b"), text.overlap_length(F.col("a"), F.col("b"), F.length("a")).cast("long").alias("shared"))
+
+
 @query("SELECT convert_id, length(text) AS n, true AS same FROM (WITH " + _R + " SELECT * FROM r)")
 def reconstruct_chunks(spark, sf):
     """Pieces of 400 characters with 100 of overlap, put together again. The pieces' own overlap may be longer by chance
