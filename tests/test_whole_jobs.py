@@ -19,3 +19,19 @@ def test_chunk_overlaps_reads_whole_chunks(spark, tmp_path):
     spark.createDataFrame(rows, "chunk_id long, convert_id long, chunk_index int, text string").write.parquet(str(tmp_path / "chunks.parquet"))
     got = {r["chunk_id"]: (r["length_b"], r["shared"]) for r in QUERIES["chunk_overlaps"](spark, str(tmp_path)).collect()}
     assert got == {2: (1200, 700), 3: (len(words) - 2000, 0), 5: (2, 1), 6: (0, 0)}
+
+
+def test_reconstruct_finds_the_overlaps(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(["the cat sat", "sat on", "on the mat", "."],), (["ab"],), ([],)], "c array<string>")
+    assert [r[0] for r in df.select(text.reconstruct(F.col("c"), 5)).collect()] == ["the cat sat on the mat.", "ab", ""]
+
+
+def test_reconstruct_chunks_rests_on_the_operator(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    spark.createDataFrame([(1, "".join(str(i) for i in range(700)))], "convert_id long, content string").write.parquet(str(tmp_path / "rtf_converted_data.parquet"))
+    assert [tuple(r) for r in documents.reconstruct_chunks(spark, str(tmp_path)).collect()] == [(1, 1990, True)]
+    monkeypatch.setattr(text, "reconstruct", lambda chunks, overlap: F.lit("other"))
+    assert [tuple(r) for r in documents.reconstruct_chunks(spark, str(tmp_path)).collect()] == [(1, 1990, False)]

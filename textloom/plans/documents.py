@@ -146,13 +146,12 @@ def chunk_overlaps(spark, sf):
 
 @query("SELECT convert_id, length(text) AS n, true AS same FROM (WITH " + _R + " SELECT * FROM r)")
 def reconstruct_chunks(spark, sf):
-    """Pieces of 400 characters with 100 of overlap, put together again. The pieces' own overlap may be longer by chance
-    only where text repeats itself, which the length of the overlap searched for rules out."""
+    """Pieces of 400 characters with 100 of overlap, put together again by the overlap that is found between them. By chance it
+    may be longer only where text repeats itself, which the length of the overlap searched for rules out."""
     t, n = F.col("text"), F.length("text")
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((n - 400) / 300)) * 300, F.lit(300))
     pieces = F.transform(starts, lambda s: F.substr(t, s.cast("int") + 1, F.lit(400)))
-    joined = F.aggregate(F.slice(pieces, 2, 100000), F.get(pieces, 0), lambda acc, p: F.concat(acc, F.substr(p, F.lit(101), F.length(p))))
-    return _converted(spark, sf).select("convert_id", n.cast("long").alias("n"), (joined == t).alias("same"))
+    return _converted(spark, sf).select("convert_id", n.cast("long").alias("n"), (text.reconstruct(pieces, 100) == t).alias("same"))
 
 
 _NUM = "^(" + "|".join(text.NUMERIC) + r")\z"
