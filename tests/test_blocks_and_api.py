@@ -194,3 +194,14 @@ def test_geometry_joins(spark):
     assert [tuple(s) for s in spans] == [(0, 0, 1, 2), (1, 0, 1, 1), (1, 1, 1, 1)]
     texts = frame([(0.0, 62.0, 60.0, 80.0, 5)], "text_id int")
     assert [tuple(r) for r in geometry.captions(texts, frame([(0.0, 0.0, 60.0, 60.0, 9)], "image_id int")).collect()] == [(9, 5)]
+
+
+def test_arriving_files_that_fail_are_kept(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "a.txt").write_text("short")
+    (src / "b.docx").write_bytes(b"no document")
+    out = str(tmp_path / "out")
+    chunk_arrivals(spark, str(src), out, str(tmp_path / "state")).awaitTermination()
+    rejects = spark.read.parquet(out + "_rejects").collect()
+    assert spark.read.parquet(out).count() == 1 and len(rejects) == 1 and rejects[0]["path"].endswith("b.docx") and rejects[0]["error"]
