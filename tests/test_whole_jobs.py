@@ -35,3 +35,22 @@ def test_reconstruct_chunks_rests_on_the_operator(spark, tmp_path, monkeypatch):
     assert [tuple(r) for r in documents.reconstruct_chunks(spark, str(tmp_path)).collect()] == [(1, 1990, True)]
     monkeypatch.setattr(text, "reconstruct", lambda chunks, overlap: F.lit("other"))
     assert [tuple(r) for r in documents.reconstruct_chunks(spark, str(tmp_path)).collect()] == [(1, 1990, False)]
+
+
+@tables
+def test_every_table_of_the_documents_is_parsed(spark):
+    e = spark.read.parquet(f"{SF}/docx_elements.parquet").filter("element_type = 'table' AND content IS NOT NULL").dropDuplicates(["element_id"])
+    want = {r["element_id"]: r["content"].count("<tr") for r in e.collect()}
+    assert want and {r["element_id"]: r["rows"] + r["header_rows"] for r in QUERIES["parse_docx_tables"](spark, SF).collect()} == want
+
+
+@tables
+def test_oversized_sheets_are_parted_by_rows(spark):
+    chunks = {}
+    for r in QUERIES["csv_sheet_chunks"](spark, SF).orderBy("book", "chunk_index").collect():
+        chunks.setdefault(int(r["text"][len("[Sheet: ") :].split("]")[0]), []).append(r["text"])
+    sources = {r["csv_id"]: r["markdown"].split("\n") for r in QUERIES["markdown_table"](spark, SF).collect() if r["markdown"]}
+    assert chunks.keys() == sources.keys() and max(map(len, chunks.values())) > 1
+    for i, (head, rule, *rows) in sources.items():
+        held = [line for c in chunks[i] for line in c.split("\n") if line.startswith("|") and line not in (head, rule)]
+        assert held == [row for row in rows if row not in (head, rule)], i

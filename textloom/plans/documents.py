@@ -431,6 +431,19 @@ def parse_html_table(spark, sf):
     return d.filter("n > 1").select("n_regionkey", parsed(html).alias("t")).select("n_regionkey", "t.*")
 
 
+@query()
+def parse_docx_tables(spark, sf):
+    """Every table of the documents' elements, parsed; nulls where there is no table in it."""
+
+    @F.udf("struct<rows bigint, header_rows int, columns int, spans boolean>", useArrow=True)
+    def parsed(source):
+        t = tables.parse_html(source)
+        return None if t is None else (len(t.rows), len(t.header), t.columns, tables.has_rowspans(source))
+
+    d = table(spark, sf, "docx_elements").filter((F.col("element_type") == "table") & F.col("content").isNotNull()).dropDuplicates(["element_id"])
+    return d.select("element_id", parsed("content").alias("t")).select("element_id", "t.*")
+
+
 @query("WITH " + _R + r", t AS (SELECT convert_id, text FROM r), x AS (SELECT convert_id, unnest(regexp_extract_all(text, '\[Image:[^\]]+\]|\[Page Number: [0-9]+\]')) AS tag FROM t) SELECT convert_id, count(*) AS regions, CAST(sum(length(tag)) AS BIGINT) AS characters FROM x GROUP BY convert_id")
 def tag_regions(spark, sf):
     """Protected image and page tags of each record, merged as spans by the fold."""
@@ -500,6 +513,20 @@ def sheet_chunks(spark, sf):
     return books.select("r_regionkey", F.size(chunks("text")).cast("long").alias("chunks"))
 
 
+@query()
+def csv_sheet_chunks(spark, sf):
+    """CSV sources as the sheets of workbooks, four to a book, in chunks of 300, so that longer sheets occur and are parted by their rows."""
+    sheet = F.concat(F.lit("[Sheet: "), F.col("csv_id").cast("string"), F.lit("]\n"), csv_tables.to_markdown(F.col("rows")))
+    one = F.struct("csv_id", sheet.alias("text"))
+    books = _csv(spark, sf).groupBy(F.floor(F.col("csv_id") / 4).alias("book")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["text"]), "\n\n").alias("text"))
+
+    @F.udf("array<string>", useArrow=True)
+    def chunks(t):
+        return sheets.chunk_sheet_text(t, 300)
+
+    return books.select("book", F.posexplode(chunks("text")).alias("chunk_index", "text"))
+
+
 @query("WITH " + _R + " SELECT convert_id, count(*) AS documents FROM r GROUP BY convert_id")
 def markdown_sink(spark, sf):
     chunks = chunking.chunk_documents(_converted(spark, sf), key="convert_id")
