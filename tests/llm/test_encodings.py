@@ -36,3 +36,11 @@ def test_round_trips(spark):
     assert all(got["rtf_source_info", i]["mark"] is None for i in range(240))
     assert got["csv_source_info", 1]["mark"] == "repaired" and got["csv_source_info", 1]["parts"] == ["la señal", None, "el niño"] and got["csv_source_info", 2]["mark"] is None
     assert E.affected(rtf.limit(0), csv.limit(0)).count() == 0
+
+
+def test_every_chain_of_a_record_is_undone():
+    import numpy as np
+
+    r = E.Repairer(np.zeros(2 * E.WORDS + E.PAIRS + E.SINGLES, dtype=np.float32), {})
+    r.options = {f"{c}ä": {i: (c, 14.0)} for i, c in enumerate("abcde")}.__getitem__
+    assert r.record(["aä bä cä", None, "dä eä"], "") == (["a b c", None, "d e"], "repaired")

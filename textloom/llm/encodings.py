@@ -290,7 +290,7 @@ class Repairer:
         lossy = any("\ufffd" in w or _LOST.search(w) or any("\x80" <= c <= "\x9f" for c in w) and not self.options(w) for w in words)
         fixed: dict[str, str] = {}
         left = words
-        for _ in range(3):
+        while left:  # every round takes words away
             evidence: dict[int, float] = {}
             for w in left:
                 for k, (_, odds) in self.options(w).items():
