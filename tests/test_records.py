@@ -94,3 +94,12 @@ def test_typed_columns(spark):
     df = spark.createDataFrame([([" 12 ", "-1.50", "2020-02-29", "N", " a b ", ""], "integer! decimal date flag text integer", ["a", "b", "c", "d", "e", "f"])], "fields array<string>, layout string, names array<string>")
     got = [tuple(c) for c in df.select(R.typed_columns(df.fields, df.layout, df.names)).first()[0]]
     assert got == [("a", 12, None, None, None, None), ("b", None, Decimal("-1.5"), None, None, None), ("c", None, None, datetime.date(2020, 2, 29), None, None), ("d", None, None, None, False, None), ("e", None, None, None, None, "a b"), ("f", None, None, None, None, None)]
+
+
+def test_decimals_that_do_not_fit_keep_their_text(spark):
+    from decimal import Decimal
+
+    values = ["1" * 27, "-0." + "0" * 12 + "1", "1." + "5" * 12 + "000", "+" + "9" * 26 + ".5", "12"]
+    df = spark.createDataFrame([(values, " ".join(["decimal"] * 5), list("abcde"))], "fields array<string>, layout string, names array<string>")
+    got = [(x["decimal"], x["text"]) for x in df.select(R.typed_columns(df.fields, df.layout, df.names)).first()[0]]
+    assert got == [(None, values[0]), (Decimal(0), values[1]), (Decimal("1." + "5" * 12), None), (Decimal("9" * 26 + ".5"), None), (Decimal(12), None)]

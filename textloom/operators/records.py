@@ -48,7 +48,8 @@ def layouts_as_text(layouts: DataFrame) -> DataFrame:
 
 def typed_columns(fields: Column, layout: Column, names: Column) -> Column:
     """array<struct<name, integer, decimal, date, flag, text>>: each field in the column of its kind, trimmed; the others
-    are null, and all of them where the field is empty."""
+    are null, and all of them where the field is empty. A decimal that its column cannot hold exactly (more than 26 digits before
+    the point, or 12 after it) keeps its text beside it."""
     kinds = F.transform(F.split(layout, " "), lambda k: F.regexp_replace(k, "!", ""))
 
     def typed(z: Column) -> Column:
@@ -57,9 +58,12 @@ def typed_columns(fields: Column, layout: Column, names: Column) -> Column:
         def of(kind: str, made: Column) -> Column:
             return F.when(z["kind"] == kind, made)
 
+        decimal = value.try_cast("decimal(38,12)")
+        inexact = (z["kind"] == "decimal") & (decimal.isNull() | value.rlike(r"\.[0-9]{12}[0-9]*[1-9]"))
+
         return F.struct(
-            z["name"].alias("name"), of("integer", value.try_cast("bigint")).alias("integer"), of("decimal", value.try_cast("decimal(38,12)")).alias("decimal"),
-            of("date", F.try_to_date(value, "yyyy-MM-dd")).alias("date"), of("flag", value == "Y").alias("flag"), F.when(~z["kind"].isin("integer", "decimal", "date", "flag"), value).alias("text"),
+            z["name"].alias("name"), of("integer", value.try_cast("bigint")).alias("integer"), of("decimal", decimal).alias("decimal"),
+            of("date", F.try_to_date(value, "yyyy-MM-dd")).alias("date"), of("flag", value == "Y").alias("flag"), F.when(~z["kind"].isin("integer", "decimal", "date", "flag") | inexact, value).alias("text"),
         )
 
     return F.transform(F.arrays_zip(fields.alias("field"), kinds.alias("kind"), names.alias("name")), typed)
