@@ -5,8 +5,10 @@ from textloom.llm import wrappers as W
 
 
 def test_streams_and_folding():
-    text = "plain\n\n<ul><li>a</li><li>b</li></ul>\n\n**x** y"
-    assert W.streams_of(text) == [["#T"], ["<ul>", "<li>", "#T", "</li>", "<li>", "#T", "</li>", "</ul>"], ["strong", "#T"]]
+    text = "plain\n\n<ul><li>a</li></ul>\n\n**x** y z, w"
+    assert W.streams_of(text) == [["#T"], ["<", "ul", ">", "<", "li", ">", "#T", "<", "/", "li", ">", "<", "/", "ul", ">"], ["**", "#T", "**", " ", "#P"]]
+    assert W.streams_of("[Page Number: 3]\nWhere was it? Not here.\nx < 5") == [["#T"], ["#P"], ["#P"], ["#T", " ", "<", " ", "#N"]]
+    assert W.streams_of("See C:\\one\\two, \\emph{a} &amp; b") == [["#P", ":", "\\", "#T", "\\", "#T", " ", "\\", "emph", "{", "#T", "}", " ", "&", "amp", ";", " ", "#T"]]
     assert W.shown(W.folded(["<ul>", "<li>", "#T", "</li>", "<li>", "#T", "</li>", "</ul>"])) == "<ul> ( <li> #T </li> )+ </ul>"
     assert W.streams_of("") == []
 
@@ -46,7 +48,8 @@ def test_all_streams_of_a_host_are_aligned():
 
 
 def test_long_blocks_are_whole():
-    assert W.streams_of("<b>x</b>" * 50) == [["<b>", "#T", "</b>"] * 50]
+    assert W.streams_of("<b>x</b>" * 50) == [["<", "b", ">", "#T", "<", "/", "b", ">"] * 50]
+    assert W.streams_of("$$\na\n$$\nb") == [["$$", "\n", "#T", "\n", "$$"], ["#T"]]
 
 
 @settings(max_examples=200, deadline=None)
@@ -54,14 +57,46 @@ def test_long_blocks_are_whole():
 def test_no_pair_that_aligns_is_turned_away(one, two):
     a, b = W.folded(one), W.folded(two)
     if W.aligned(a, b) is not None:
-        assert W.may_align(W.Counter(W.parts_of(a)), len(a), W.Counter(W.parts_of(b)), len(b))
+        x, y = W.constants_of(W.parts_of(a)), W.constants_of(W.parts_of(b))
+        assert W.may_align(x, x.total(), y, y.total()) and W.balance(a) == W.balance(b)
+
+
+def streams(*texts):
+    return [s for t in texts for s in W.streams_of(t)]
 
 
 def test_markup_is_decided_on_the_wrapper():
-    streams = [["<p>", "#T", "</p>"], ["<p>", "</p>"], ["#T", "<b>"], ["#T"]]
-    got = {s: (w, m) for s, w, m in W.assigned(streams)}
-    assert got == {"<p> #T </p>": ("<p> ( #T )? </p>", True), "<p> </p>": ("<p> ( #T )? </p>", True), "#T <b>": ("#T <b>", True), "#T": ("#T", False)}
-    assert list(W.assigned([["#T", "<b>", "#T", "<i>"], ["#T"]]))[1] == ("#T", "#T", False)
+    given_ = streams("See [a](b) now", "See [a](b) now [^1]", "It is [a] now", "x < 5", "x < 5 > 4", "- [ ] a", "- [x] a")
+    got = {s: m for s, _, m in W.assigned(given_)}
+    assert [got[W.JOIN.join(s)] for s in given_] == [True, True, False, False, False, True, True]
+
+
+def test_without_inference_the_result_fails(monkeypatch):
+    """Ablation: a wrapper that was not inferred, of all tokens in any order, tells nothing."""
+    given_ = streams("**a** b", "<p>x</p>", "It is [a] now", "plain words here", "x < 5")
+    right = [m for _, _, m in W.assigned(given_)]
+    assert right == [True, True, False, False, False]
+    every = sorted({t for s in given_ for t in s})
+    monkeypatch.setattr(W, "infer", lambda streams: [[["+", [["?", t] for t in every]]]])
+    assert [m for _, _, m in W.assigned(given_)] != right
+
+
+def test_the_grammar_reads_wrappers_not_texts(monkeypatch):
+    calls = []
+    grammar = W.tokens
+    monkeypatch.setattr(W, "tokens", lambda t: calls.append(t) or grammar(t))
+    texts = [f"See [word{i}](place{i}) and [^{i}] here" for i in range(500)]
+    every = [tuple(s) for t in texts for s in W.streams_of(t)]
+    assert not calls and len(set(every)) == 1
+    assert [m for _, _, m in W.assigned([list(s) for s in set(every)])] == [True]
+    assert len(calls) == 5 and all("word" not in t for t in calls)  # the five samples of the one wrapper
+
+
+def test_options_are_well_formed_and_no_unions():
+    a, b = (W.folded(s) for s in streams("a <b>x</b> c", "a <i>x</i> c"))
+    assert W.aligned(a, b) is None
+    a, b = (W.folded(s) for s in streams("a <b>x</b> (c) <b>y</b>", "a <b>x</b> <b>y</b>"))
+    assert W.shown(W.aligned(a, b)).count("( ( #T ) ␣ )?") + W.shown(W.aligned(a, b)).count("( ␣ ( #T ) )?") == 1
 
 
 def test_items_are_found_by_their_wrappers(spark):

@@ -35,7 +35,7 @@ ELEMENTS = (
     "font footer form h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd label li link main mark math meta nav noscript nowiki ol option p pre q "
     "ref references s samp script section select small span strike strong style sub summary sup svg table tbody td textarea tfoot th thead title tr tt u ul var"
 ).split()
-_ENTITIES = {k.rstrip(";") for k in html5 if k.endswith(";")}
+ENTITIES = {k.rstrip(";") for k in html5 if k.endswith(";")}
 OWN_TAG = r"\[(?:Page Number|Slide Number|Sheet|Image|Table Chunk|Table|Figure|Diagram|Data Analysis|chart|textbox|Slide Notes|Empty Slide|Textbox)\b[^\[\]\n]*\]|\[/(?:chart|textbox|Data Analysis)\]|</?Document-Metadata>"
 
 # order matters: the first alternative that fits at a position is the token
@@ -90,7 +90,7 @@ def tokens(text: str) -> Iterator[tuple[str, int, int]]:
             continue
         if kind == "entity":
             name = m[0][1:-1]
-            if name[0] != "#" and name not in _ENTITIES:
+            if name[0] != "#" and name not in ENTITIES:
                 continue
         elif kind == "equals":
             line = m[0].strip()
@@ -286,8 +286,9 @@ def items(converted: DataFrame, elements: DataFrame) -> DataFrame:
 
 
 def with_markup(converted: DataFrame, elements: DataFrame) -> DataFrame:
-    """(item_table, item_id) of every item that holds markup, each once: the token streams of its blocks are aligned with
-    those of its host, and an item is one with a block whose wrapper has more than text slots (`wrappers.assigned`)."""
+    """(item_table, item_id) of every item that holds markup, each once: the neutral token streams of its blocks are aligned with
+    those of its host, and an item is one with a block that fills a place of its wrapper that is markup (`wrappers.assigned`).
+    The grammar above reads wrappers only; no text is lexed."""
     from textloom.llm.wrappers import infer_wrappers, with_streams
 
     streams = checkpointed(with_streams(items(converted, elements)))

@@ -1,17 +1,23 @@
 """Union-free regular expressions of markup, inferred by aligning the token streams of one host.
 
-A stream is what a block of text is made of: markup tokens, and `#T` for text between them. Inference goes through a host's
+A stream is what a block of text is made of, in neutral tokens that know nothing of markup: runs of one mark, blanks, and
+slots for text between them. A word stands for itself only where its place and its name say so (an element's name behind `<`,
+a command's behind a backslash, an entity's, a protocol's); every other one is part of a slot. Inference goes through a host's
 distinct streams, the most frequent first. Inside a stream, a group that repeats side by side becomes `( ... )+`. A stream is
 then aligned with each wrapper so far; where enough of them agree, what only one of them has becomes optional, `( ... )?`, and
 the wrapper is generalised; else the stream opens a wrapper of its own. A wrapper has no alternatives, so it reads as the
 template that its blocks were written by.
 
+Only wrappers are read by the grammar of the markup dialects, each once, with plain words in its slots. What of a wrapper is
+markup are the constants that the grammar finds there; a block is markup if it fills all constants of one such place.
+
 Only distinct streams are gathered, never texts, and all of a host's take part in the alignment, so each has a wrapper. One task
 does a host: its time grows with the square of the host's distinct streams.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -22,47 +28,159 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from textloom.llm.markup import tokens
+from textloom.llm.markup import ELEMENTS, ENTITIES, OWN_TAG, tokens
 
 AGREE = 0.6  # share of tokens that must agree for two streams to have one wrapper
-TEXT = "#T"
+WORD, PHRASE, NUMBER = "#T", "#P", "#N"  # slots: one word, several, a number
+PLAIN = {WORD, PHRASE, NUMBER, " ", "\n"}
+ESCAPED = {"+": "`+", "?": "`?"}  # marks that stand for groups in a wrapper
+SAMPLES = {WORD: "x", PHRASE: "x x", NUMBER: "0", "`+": "+", "`?": "?"}
+JOIN = "\x1f"  # between the tokens of a stream as a string
+
+_OWN = re.compile(OWN_TAG, re.IGNORECASE)
+_WORD = re.compile(r"[^\W_]+")
+_ELEMENTS = frozenset(ELEMENTS)
+# marks; what is not one of these is punctuation of sentences, and text
+_MARK = re.compile(r"[<>&\\{}\[\]()|*#=`~_^$\"%@/+]|''|--|::|;;|\n[ \t]*[-:;][ \t]")
+_ATOM = re.compile(r"[ \t]*\n\s*|[ \t\u00a0]+|([^\s])\1*|\s+")
+_BLANK = re.compile(r"\n[ \t]*\n")
+_OPEN_TAG = re.compile(r"<[A-Za-z!/][^<>]*$")
+_UNDERLINE = re.compile(r"(?:={3,}|-{3,})[ \t]*$")
+_SENTENCE = re.compile(r"[.!?…。！？]\s")
+_ENDING = re.compile(r"^(?:[.,?…’]+|'(?!')|[!:;]+(?=\s))+")
+
+
+def _literal(block: str, m: re.Match) -> str | None:
+    """The word as a token of its own, None if it is part of a slot."""
+    word, at = m[0], m.start()
+    before = block[at - 1] if at else ""
+    if before == "\\":
+        return word if word == "item" or (word.isascii() and word.isalpha() and block[m.end() : m.end() + 1] in ("{", "[", "*")) else None
+    if before == "<" or block[max(0, at - 2) : at] == "</":
+        return word.lower() if word.lower() in _ELEMENTS else None
+    if before == "&":
+        return word if word in ENTITIES and block.startswith(";", m.end()) else None
+    return word if word in ("http", "https", "ftp") and block.startswith("://", m.end()) else None
+
+
+def units_of(block: str) -> Iterator[str]:
+    """The lines of a block; those of a construct that spans lines, and a line with what underlines it, stay together."""
+    lines = block.split("\n")
+    held: list[str] = []
+    display = brackets = 0
+    for line, after in zip(lines, [*lines[1:], ""]):
+        held.append(line)
+        display ^= line.count("$$") & 1
+        brackets += sum(line.count(x) for x in ("\\[", "\\(")) - sum(line.count(x) for x in ("\\]", "\\)"))
+        if display or brackets > 0 or _OPEN_TAG.search(line) or _UNDERLINE.match(after):
+            continue
+        yield "\n".join(held)
+        held, brackets = [], 0
+    if held:
+        yield "\n".join(held)
+
+
+def streams_of_unit(unit: str) -> Iterator[list[str]]:
+    """The streams of one unit: it is parted where a sentence ends in plain text and nothing is left open."""
+    out: list[str] = []
+    at, text, named = 0, None, False  # where the last word ended; the slot that is open; whether the last word was a name
+    parts: list[list[str]] = []
+
+    def gap(part: str, first: bool) -> None:
+        """What stands between two words: marks close the slot that is open, anything else joins it."""
+        nonlocal text, out
+        if named:
+            part = part[:1] + _ENDING.sub("", part[1:]) if part[:1] == ";" else part
+        elif not _MARK.search("\n" + part if first else part):
+            if text is None:
+                if not first and part and out:
+                    out.append("\n" if "\n" in part else " ")
+                return
+            text = PHRASE if text == PHRASE or any(map(str.isspace, part)) else WORD
+            if _SENTENCE.search(part) and well_formed(out):
+                parts.append([*out, text])
+                out = []
+            return
+        if text is not None:
+            out.append(text)
+            text = None
+        if not first and not named:
+            part = _ENDING.sub("", part)
+        out.extend("\n" if "\n" in a[0] else " " if a[0].isspace() else ESCAPED.get(a[0], a[0][:6]) for a in _ATOM.finditer(part))
+
+    for m in _WORD.finditer(unit):
+        gap(unit[at : m.start()], not at)
+        literal = _literal(unit, m)
+        if literal is not None:
+            if text is not None:
+                out.append(text)
+                text = None
+            out.append(literal)
+        elif text is None:
+            text = NUMBER if m[0].isdigit() and m[0].isascii() else WORD
+        at, named = m.start() + len(literal) if literal is not None else m.end(), literal is not None
+    if at < len(unit):
+        gap(unit[at:], not at)
+    if text is not None:
+        out.append(text)
+    yield from parts
+    if out:
+        yield out
 
-_NAME = re.compile(r"</?([A-Za-z][A-Za-z0-9]*)")
 
+def streams_of(text: str) -> list[list[str]]:
+    """Streams of the units of a text, without the project's own tags; blocks end at blank lines."""
+    blocks = _BLANK.split(_OWN.sub("x", text))
+    return [s for b in blocks if b.strip() for u in units_of(b.strip("\n")) for s in streams_of_unit(u)]
 
-def label(kind: str, token: str) -> str:
-    """The token as it stands in a stream: its dialect's name for it, without what varies from use to use."""
-    if kind == "tag":
-        name = _NAME.match(token)[1].lower()
-        return f"</{name}>" if token.startswith("</") else f"<{name}>"
-    if kind == "environment":
-        return re.match(r"\\(?:begin|end)\{[A-Za-z*]+\}", token)[0]
-    if kind in ("command", "section", "reference", "item"):
-        return re.match(r"~?(\\[A-Za-z]+)", token)[1]
-    return kind
 
+def sample_of(wrapper: list, leave_out: frozenset[str] = frozenset(), groups: bool = True) -> tuple[str, list[tuple[str, int, int]]]:
+    """A wrapper as the text of one block that fills all of it, but for optional slots and blanks that are left out (unless a
+    line begins with them) and, without `groups`, all that is optional; and where in it each of its tokens stands."""
+    out: list[str] = []
+    places: list[tuple[str, int, int]] = []
+    at = 0
 
-def streams_of(text: str) -> list[list[str]]:
-    """Streams of the blocks of a text; blocks end at blank lines outside of markup."""
-    out: list[list[str]] = [[]]
+    def add(x) -> None:
+        nonlocal at
+        if isinstance(x, str):
+            s = SAMPLES.get(x, x)
+            out.append(s)
+            places.append((x, at, at + len(s)))
+            at += len(s)
+        elif x[:1] in (["+"], ["?"]):
+            inside = _inside(x[1])
+            plain = all(isinstance(y, str) and y in PLAIN for y in inside)
+            begins = not out or out[-1].endswith("\n")
+            if x[0] == "?" and (plain and all(y in leave_out for y in inside) and not begins or not plain and not groups):
+                return
+            for y in inside:
+                add(y)
+        else:
+            for y in x:
+                add(y)
+
+    add(wrapper)
+    return "".join(out), places
+
+
+def markup_of(wrapper: list) -> list[list[str]]:
+    """The constants of each place of a wrapper that is markup, in order: as the grammar finds them with everything filled,
+    without optional blanks, without optional slots too, and without anything optional."""
+    out = []
+    for leave_out, groups in ((frozenset(), True), (frozenset(" \n"), True), (frozenset(PLAIN), True), (frozenset(), False), (frozenset(PLAIN), False)):
+        text, places = sample_of(wrapper, leave_out, groups)
+        for _, start, end in tokens(text):
+            constants = [x for x, a, b in places if x not in PLAIN and a < end and b > start]
+            if constants and constants not in out:
+                out.append(constants)
+    return out
 
-    def plain(part: str) -> None:
-        blocks = re.split(r"\n[ \t]*\n", part)
-        for i, block in enumerate(blocks):
-            if i and out[-1]:
-                out.append([])
-            if block.strip() and (not out[-1] or out[-1][-1] != TEXT):
-                out[-1].append(TEXT)
 
-    at = 0
-    for kind, start, end in tokens(text):
-        if start < at:
-            continue
-        plain(text[at:start])
-        out[-1].append(label(kind, text[start:end]))
-        at = end
-    plain(text[at:])
-    return [s for s in out if s]
+def fills(stream: list[str], constants: list[str]) -> bool:
+    """Whether a stream has these constants, in order."""
+    rest = iter(stream)
+    return all(c in rest for c in constants)
 
 
 def folded(stream: list[str]) -> list:
@@ -90,29 +208,97 @@ def parts_of(wrapper: list) -> list[str]:
     return [str(x[1] if x[:1] == ["?"] else x) for x in wrapper]
 
 
+def _constant(x) -> bool:
+    """Whether a part of a wrapper holds anything but slots and blanks."""
+    if isinstance(x, str):
+        return x not in PLAIN
+    return any(map(_constant, x[1:] if x[:1] in (["+"], ["?"]) else x))
+
+
+def constants_of(parts: list[str]) -> Counter:
+    return Counter(x for x in parts if x not in PLAIN)
+
+
 def may_align(a: Counter, n_a: int, b: Counter, n_b: int) -> bool:
-    """Whether n parts, so counted, can agree in enough for one wrapper, whatever their order. Spares `aligned` its work on
-    most pairs and never turns one away that it would take."""
-    need = AGREE * max(n_a, n_b)
-    return min(n_a, n_b) >= need and sum(min(n, b[x]) for x, n in a.items() if x in b) >= need
+    """Whether parts with these constants, so many in all, can agree in enough for one wrapper, whatever their order. Spares
+    `aligned` its work on most pairs and never turns one away that it would take."""
+    need = AGREE * (n_a if n_a > n_b else n_b)
+    return n_a >= need and n_b >= need and sum(n if n < b[x] else b[x] for x, n in a.items() if x in b) >= need
+
+
+_PAIRED = {"(": ")", "[": "]", "{": "}", "<": ">", "[[": "]]", "{{": "}}"}
+_TWICE = {"$", "$$", "**", "__", "~~", "''", "'''", "`", '"', "==", "===", "===="}
+
+
+def _flat(x) -> Iterator[str]:
+    if isinstance(x, str):
+        yield x
+    else:
+        for y in x[1:] if x[:1] in (["+"], ["?"]) else x:
+            yield from _flat(y)
+
+
+def well_formed(part: list) -> bool:
+    """Whether a part can be optional: its brackets are closed, marks that come in pairs do, and no name lacks what is before it."""
+    open_, before = Counter(), ""
+    for x in _flat(part):
+        if x in _TWICE:
+            open_[x] ^= 1
+        elif x in _PAIRED:
+            open_[_PAIRED[x]] += 1
+        elif x in open_ or x in _CLOSING:
+            open_[x] -= 1
+            if open_[x] < 0:
+                return False
+        elif x[0].isalpha() and not before:
+            return False
+        before = x
+    return not any(open_.values())
+
+
+_CLOSING = frozenset(_PAIRED.values())
+
+
+def balance(wrapper: list) -> frozenset:
+    """What of a wrapper's brackets and paired marks is left open. It is the same for all that align, since what is optional
+    leaves nothing open."""
+    count = Counter(_flat(wrapper))
+    open_ = {(x, count[x] - count[y]) for x, y in _PAIRED.items() if count[x] != count[y]}
+    return frozenset(open_ | {(x, 0) for x in _TWICE if count[x] & 1})
+
+
+def _optional(part: list) -> list:
+    """A part as one optional group; slots and blanks at its ends are optional by themselves."""
+    if not any(map(_constant, part)) or len(part) < 2:
+        return [x if x[:1] == ["?"] else ["?", x] for x in part]
+    return [["?", part]]
 
 
 def aligned(wrapper: list, stream: list) -> list | None:
-    """The wrapper generalised so that it fits the stream too, None if they agree in too little."""
+    """The wrapper generalised so that it fits the stream too, None if their constants agree in too little, or if only a union
+    would fit both. What a line begins with is its role and never optional."""
     right = stream
     a, b = parts_of(wrapper), [str(x) for x in right]
+    if a[0] != b[0] and not (a[0] in PLAIN and b[0] in PLAIN):
+        return None
     matcher = SequenceMatcher(None, a, b, autojunk=False)
-    same = sum(m.size for m in matcher.get_matching_blocks())
-    markup = sum(a[m.a + k] != TEXT for m in matcher.get_matching_blocks() for k in range(m.size))
-    if same < AGREE * max(len(a), len(b)) or not markup and (len(a) > 1 or len(b) > 1):
+    operations = matcher.get_opcodes()
+    same = sum(x not in PLAIN for op, a0, a1, _, _ in operations if op == "equal" for x in a[a0:a1])
+    most = max(constants_of(a).total(), constants_of(b).total())
+    if same < AGREE * most or not most and (len(a) > 1 or len(b) > 1):
         return None
     out: list = []
-    for op, a0, a1, b0, b1 in matcher.get_opcodes():
+    for op, a0, a1, b0, b1 in operations:
         if op == "equal":
             out += wrapper[a0:a1]
+        elif op == "replace" and any(map(_constant, wrapper[a0:a1])) and any(map(_constant, right[b0:b1])):
+            return None  # one or the other: only a union would fit both
+        elif not well_formed(wrapper[a0:a1]) or not well_formed(right[b0:b1]):
+            return None  # what is optional is so as a whole
+        elif (a0 == 0 or a[a0 - 1] == "\n") and (any(map(_constant, wrapper[a0:a1])) or any(map(_constant, right[b0:b1]))):
+            return None
         else:
-            out += [x if x[:1] == ["?"] else ["?", x] for x in wrapper[a0:a1]]
-            out += [["?", x] for x in right[b0:b1]]
+            out += [*_optional(wrapper[a0:a1]), *_optional(right[b0:b1])]
     return out
 
 
@@ -124,7 +310,7 @@ def _inside(group) -> list:
 def shown(x) -> str:
     """A wrapper as text."""
     if isinstance(x, str):
-        return x
+        return {" ": "␣", "\n": "⏎"}.get(x, x)
     if x[:1] in (["+"], ["?"]):
         return f"( {' '.join(map(shown, _inside(x[1])))} ){x[0]}"
     return " ".join(map(shown, x))
@@ -137,7 +323,8 @@ class Matcher:
 
     def __init__(self, wrapper: list):
         self.wrapper = wrapper
-        self.parts, self.size = Counter(parts_of(wrapper)), len(wrapper)
+        self.parts = constants_of(parts_of(wrapper))
+        self.size = self.parts.total()
         self.needed, self.allowed = frozenset(self._tokens(wrapper, False)), frozenset(self._tokens(wrapper, True))
 
     def _tokens(self, x, optional: bool) -> Iterator[str]:
@@ -177,30 +364,47 @@ class Matcher:
 
 
 def infer(streams: list[list[str]]) -> list[list]:
-    """Wrappers of a host's streams, which come the most frequent first."""
+    """Wrappers of a host's streams, which come the most frequent first. Wrappers are looked up by their rarest constants: two
+    that agree in a share of `AGREE` have one in common among the rarest of each, so no pair is missed that may align."""
+    rank = {x: i for i, (x, _) in enumerate(sorted(Counter(x for s in streams for x in set(s)).items(), key=lambda e: (e[1], e[0])))}
     matchers: list[Matcher] = []
+    held: dict[tuple, set[int]] = {}
+
+    def rarest(parts: Counter, size: int) -> list[tuple[str, int]]:
+        every = sorted(((x, k) for x, n in parts.items() for k in range(n)), key=lambda e: (rank.get(e[0], -1), e))
+        return every[: size - math.ceil(AGREE * size - 1e-9) + 1] if size else [("", 0)]
+
+    def hold(i: int, m: Matcher) -> None:
+        for e in rarest(m.parts, m.size):
+            held.setdefault((balance(m.wrapper), e), set()).add(i)
+
     for stream in streams:
         kinds = frozenset(stream)
         if any(m.fits(stream, kinds) for m in matchers):
             continue
         short = folded(stream)
-        parts = Counter(parts_of(short))
-        for i, m in enumerate(matchers):
-            if not may_align(m.parts, m.size, parts, len(short)):
+        parts = constants_of(parts_of(short))
+        size = parts.total()
+        open_ = balance(short)
+        for i in sorted(set().union(*(held.get((open_, e), ()) for e in rarest(parts, size)))):
+            m = matchers[i]
+            if not may_align(parts, size, m.parts, m.size):
                 continue
             general = aligned(m.wrapper, short)
             if general is not None and len(general) <= 2 * max(len(m.wrapper), len(short)) and (new := Matcher(general)).fits(stream, kinds):
                 matchers[i] = new
+                hold(i, new)
                 break
         else:
             matchers.append(Matcher(short))
+            hold(len(matchers) - 1, matchers[-1])
     return [m.wrapper for m in matchers]
 
 
 @F.pandas_udf(ArrayType(StringType()))
 def _streams(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
-        yield pd.Series([[] if t is None else list(dict.fromkeys(" ".join(s) for s in streams_of(t))) for t in texts], dtype=object)
+        yield pd.Series([[] if t is None else list(dict.fromkeys(JOIN.join(s) for s in streams_of(t))) for t in texts], dtype=object)
 
 
 def with_streams(items: DataFrame, text: str = "text") -> DataFrame:
@@ -209,14 +413,14 @@ def with_streams(items: DataFrame, text: str = "text") -> DataFrame:
 
 
 def assigned(streams: list[list[str]]) -> Iterator[tuple[str, str, bool]]:
-    """(stream, wrapper, is_markup) of each of a host's streams, which come the most frequent first. A wrapper with more than
-    text slots is markup; where all of that is optional and the stream has none of it, the stream is still plain text."""
+    """(stream, wrapper, is_markup) of each of a host's streams, which come the most frequent first. A stream is markup if it
+    fills the constants of a place of its wrapper that is; where all of that is optional and the stream has none, it is plain."""
     matchers = [Matcher(w) for w in infer(streams)]
-    texts = [shown(m.wrapper) for m in matchers]
+    texts, marked = [shown(m.wrapper) for m in matchers], [markup_of(m.wrapper) for m in matchers]
     for stream in streams:
         kinds = frozenset(stream)
         i = next(i for i, m in enumerate(matchers) if m.fits(stream, kinds))
-        yield " ".join(stream), texts[i], bool((matchers[i].allowed - {TEXT}) & kinds)
+        yield JOIN.join(stream), texts[i], any(fills(stream, c) for c in marked[i])
 
 
 def infer_wrappers(streams: DataFrame) -> DataFrame:
@@ -226,7 +430,7 @@ def infer_wrappers(streams: DataFrame) -> DataFrame:
 
     def learn(frame: pd.DataFrame) -> pd.DataFrame:
         ordered = frame.sort_values(["n", "stream"], ascending=[False, True])["stream"]
-        out = pd.DataFrame(assigned([s.split(" ") for s in ordered]), columns=["stream", "wrapper", "is_markup"])
+        out = pd.DataFrame(assigned([s.split(JOIN) for s in ordered]), columns=["stream", "wrapper", "is_markup"])
         return out.assign(host=frame["host"].iloc[0])
 
     return counts.groupBy("host").applyInPandas(learn, "host string, stream string, wrapper string, is_markup boolean")
