@@ -14,9 +14,8 @@ from pyspark.sql.types import ArrayType, StringType
 
 from textloom.functions.text import escape_html, is_numeric, strip
 
-# fixed values: delimiters tried, in order, and the caps that a reader applies by default
+# fixed values: delimiters tried, in order
 CANDIDATES = (",", "\t", ";", "|")
-MAX_ROWS, MAX_COLUMNS = 100_000, 1000
 
 
 def sniff(content: str) -> str:
@@ -33,13 +32,13 @@ def sniff(content: str) -> str:
     return best if scores[best] > 0 else ","
 
 
-def parse(content: str, delimiter: str, max_rows: int = MAX_ROWS, max_columns: int = MAX_COLUMNS) -> list[list[str]]:
-    """Rows that are not blank; where quoting is hopeless, by plain splitting."""
+def parse(content: str, delimiter: str, max_rows: int | None = None, max_columns: int | None = None) -> list[list[str]]:
+    """Rows that are not blank; where quoting is hopeless, by plain splitting. Nothing is cut unless a limit is given."""
     text = content.replace("\r\n", "\n").replace("\r", "\n")
     out = []
     try:
         for i, row in enumerate(csv.reader(io.StringIO(text), delimiter=delimiter, skipinitialspace=True)):
-            if i >= max_rows:
+            if max_rows is not None and i >= max_rows:
                 break
             if any(c.strip() for c in row):
                 out.append(row[:max_columns])

@@ -127,7 +127,10 @@ def _is_date(x: str) -> bool:
 
 
 def _is_integer(x: str) -> bool:
-    return _INTEGER.match(x) is not None and (len(x) < 18 or -(2**63) <= int(x[:400]) < 2**63 and len(x) < 400)
+    if _INTEGER.match(x) is None:
+        return False
+    digits = x.lstrip("+-").lstrip("0")
+    return len(digits) < 19 or (len(digits) == 19 and int(digits) < 2**63 + x.startswith("-"))
 
 
 FITS = {

@@ -22,8 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textloom.functions.once import once
 from textloom.operators.record_grammar import check_values, grammar
 
+FORMAT_ROWS = 500_000  # sources up to which their formats (some 100 bytes each) may be broadcast; beyond, the join shuffles
+
 # fixed values: delimiters by name
 DELIMITER_NAMES = {"comma": ",", "semicolon": ";", "tab": "\t", "pipe": "|", "colon": ":", "space": " ", "\\t": "\t", "\\x09": "\t", "\\x2c": ",", "\\x3b": ";", "\\x7c": "|", "vertical bar": "|", "bar": "|", "tabulator": "\t"}
 CANDIDATES = [",", ";", "\t", "|"]
@@ -115,9 +118,11 @@ def _parse_batches(with_fields: bool):
 
 def read_records(records: DataFrame, sources: DataFrame, layouts: DataFrame, with_fields: bool = True) -> DataFrame:
     """(record_id, csv_id, record_no, layout, names, outcome): each data record with its fields, or with the reason, column
-    and offset of its failure. The join on the source's key is left to Spark: it broadcasts the formats while
-    they are small by their measured size, else shuffles, and splits hot sources (AQE skew join)."""
+    and offset of its failure. The formats are broadcast if there are at most `FORMAT_ROWS` sources by count, so that no record
+    moves; else both sides are shuffled on the source's key, and hot sources are split (AQE skew join)."""
     formats = source_formats(sources, layouts, records)
+    if sources.limit(FORMAT_ROWS + 1).count() <= FORMAT_ROWS:
+        formats = F.broadcast(formats)
     data = records.filter(~F.coalesce("raw_record", F.lit("")).rlike(r"^[ \r\n]*$")).select("record_id", "csv_id", "record_no", "raw_record")
     joined = data.join(formats, "csv_id", "left").filter(~(F.coalesce("has_header", F.lit(False)) & F.col("record_no").eqNullSafe(1)))
     outcome = _parse_batches(with_fields)("raw_record", F.coalesce("delimiter", F.lit(",")), "layout")
@@ -126,7 +131,7 @@ def read_records(records: DataFrame, sources: DataFrame, layouts: DataFrame, wit
 
 def typed_records(records: DataFrame, sources: DataFrame, layouts: DataFrame) -> DataFrame:
     """(record_id, csv_id, record_no, columns) of each valid record, once."""
-    valid = read_records(records, sources, layouts).filter(F.col("outcome.reason").isNull()).dropDuplicates(["record_id"])
+    valid = read_records(once(records, ["record_id"]), sources, layouts).filter(F.col("outcome.reason").isNull())
     return valid.select("record_id", "csv_id", "record_no", typed_columns(F.col("outcome.fields"), F.col("layout"), F.col("names")).alias("columns"))
 
 

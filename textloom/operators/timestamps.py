@@ -27,7 +27,7 @@ from textloom.functions.lets import let
 from textloom.functions.zones import ABBREVIATIONS, region_names
 
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
-LONGEST = 96  # no timestamp of any form is longer; longer values are rejected before a pattern runs
+LONGEST = 96  # no timestamp of any form is longer without the blanks around it; longer values are rejected before a pattern runs
 
 _CLOCK = r"([0-9]{1,2}):([0-9]{2})(?::([0-9]{2})(?:[.,]([0-9]{1,9}))?)?"
 _ZONE = r"(?:\s*(Z|z|[+-][0-9]{2}(?::?'?[0-9]{2}'?)?|[A-Z]{2,5}|\[[A-Za-z0-9_+/-]+\])(?:\[[A-Za-z0-9_+/-]+\])?)?"
@@ -56,7 +56,7 @@ COUNTS = {"serial": r"^[0-9]{5}(?:\.[0-9]{1,10})?$", "unix_s": r"^[0-9]{9,10}$",
 
 def _stripped(value: Column) -> Column:
     text = F.regexp_replace(value, r"^[\s\x{a0}\x{feff}]+|[\s\x{a0}\x{feff}]+$", "")
-    return F.when(F.length(value) <= LONGEST, text)
+    return F.nullif(F.when(F.length(text) <= LONGEST, text), F.lit(""))
 
 
 def _serial_reading(text: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.functions import blocks, tags, text
+from textloom.functions.once import once
 from textloom.operators import chunking, csv_tables, geometry, grids, ocr, pages, regions, sheets, splitter, tables
 from textloom.plans.general import table
 from textloom.sources import sinks
@@ -23,15 +24,15 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _converted(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "rtf_converted_data").filter(F.col("content").isNotNull()).select("convert_id", F.col("content").alias("text")).dropDuplicates(["convert_id"])
+    return once(table(spark, sf, "rtf_converted_data").filter(F.col("content").isNotNull()).select("convert_id", F.col("content").alias("text")), ["convert_id"])
 
 
 def _csv(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "csv_source_info").filter(F.col("parsed_rows").isNotNull()).select("csv_id", F.col("parsed_rows").alias("rows"), "has_header", "delimiter").dropDuplicates(["csv_id"])
+    return once(table(spark, sf, "csv_source_info").filter(F.col("parsed_rows").isNotNull()).select("csv_id", F.col("parsed_rows").alias("rows"), "has_header", "delimiter"), ["csv_id"])
 
 
 def _cells(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "cell_info").select("cell_id", "grid_key", "row_no", "col_no", "bbox", "text", "is_header").dropDuplicates(["cell_id"])
+    return once(table(spark, sf, "cell_info").select("cell_id", "grid_key", "row_no", "col_no", "bbox", "text", "is_header"), ["cell_id"])
 
 
 _R = "r AS (SELECT DISTINCT convert_id, content AS text FROM rtf_converted_data WHERE content IS NOT NULL)"
@@ -77,7 +78,7 @@ def clean_code_text(spark, sf):
 
 @query("SELECT DISTINCT source_id, regexp_replace(coalesce(content, ''), '[\\x{E000}-\\x{F8FF}\\x{FFFE}\\x{FFFF}\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g') AS cleaned FROM rtf_source_info")
 def sanitize_text(spark, sf):
-    return table(spark, sf, "rtf_source_info").dropDuplicates(["source_id"]).select("source_id", text.sanitize_for_json(F.col("content")).alias("cleaned"))
+    return once(table(spark, sf, "rtf_source_info").select("source_id", "content"), ["source_id"]).select("source_id", text.sanitize_for_json(F.col("content")).alias("cleaned"))
 
 
 _PUA, _LOST = r"\x{E000}-\x{F8FF}\x{F0000}-\x{FFFFD}\x{100000}-\x{10FFFD}", r"\x{FFFD}"
@@ -93,7 +94,7 @@ _VALID = r"\x{AC00}-\x{D7A3}\x{1100}-\x{11FF}\x{3130}-\x{318F}A-Za-z0-9 \x{a0}\x
         (CASE WHEN total < 10 THEN total ELSE valid END)::INTEGER AS valid, CAST(floor(score * 1000 + 0.500001) AS BIGINT) AS score_permille, total >= 10 AND (score < 0.7 OR pua / greatest(1, total) >= 0.1) AS needs_ocr FROM q""")
 def text_quality(spark, sf):
     q = text.text_quality(F.col("content"))
-    d = table(spark, sf, "rtf_source_info").dropDuplicates(["source_id"]).select("source_id", q.alias("q"))
+    d = once(table(spark, sf, "rtf_source_info").select("source_id", "content"), ["source_id"]).select("source_id", q.alias("q"))
     return d.select("source_id", "q.total", "q.pua", "q.replacement", "q.controls", "q.valid", F.floor(F.col("q.score") * 1000 + 0.500001).alias("score_permille"), "q.needs_ocr")
 
 
@@ -581,7 +582,7 @@ def continue_category(spark, sf):
     return geometry.continue_category(c).select("cell_id", "category")
 
 
-@query("WITH " + _G + " SELECT grid_key AS sheet, min(row_no) AS min_row, min(col_no) AS min_col, max(row_no) AS max_row, max(col_no) AS max_col FROM g WHERE trim(coalesce(text, '')) != '' AND row_no <= 1000 AND col_no <= 100 GROUP BY grid_key")
+@query("WITH " + _G + " SELECT grid_key AS sheet, min(row_no) AS min_row, min(col_no) AS min_col, max(row_no) AS max_row, max(col_no) AS max_col, 0::BIGINT AS left_out FROM g WHERE trim(coalesce(text, '')) != '' GROUP BY grid_key")
 def used_range(spark, sf):
     c = _cells(spark, sf).select(F.col("grid_key").alias("sheet"), F.col("row_no").alias("row"), F.col("col_no").alias("col"), F.col("text").alias("value"))
     return grids.used_range(c)

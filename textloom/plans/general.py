@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from textloom.functions.once import once
 from textloom.operators import records, timestamps
 
 
@@ -17,8 +18,9 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each record's two instants and the forms they were read in."""
-    times = timestamps.normalise_times(table(spark, sf_dir, "document_metadata"), ["create_time", "last_saved_time"])
-    return times.select("meta_id", "create_time_utc", "create_time_form", "last_saved_time_utc", "last_saved_time_form").dropDuplicates(["meta_id"])
+    metadata = table(spark, sf_dir, "document_metadata").select("meta_id", "create_time", "last_saved_time", "locale", "source_zone")
+    times = timestamps.normalise_times(once(metadata, ["meta_id"]), ["create_time", "last_saved_time"])
+    return times.select("meta_id", "create_time_utc", "create_time_form", "last_saved_time_utc", "last_saved_time_form")
 
 
 def _csv(spark: SparkSession, sf_dir: str) -> list[DataFrame]:

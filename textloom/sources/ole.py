@@ -286,7 +286,7 @@ def recovered_text(data: bytes, least: int = 50) -> str:
     pieces = [data]
     for m in re.finditer(rb"\x78[\x01\x9c\xda]", data):
         try:
-            pieces.append(zlib.decompressobj().decompress(data[m.start() :], 1 << 24))
+            pieces.append(zlib.decompressobj().decompress(data[m.start() :]))
         except zlib.error:
             continue
     for piece in reversed(pieces):
@@ -332,7 +332,7 @@ def summary(data: bytes) -> dict[str, str]:
     offset, = struct.unpack_from("<I", data, 44)
     try:
         _, n = struct.unpack_from("<II", data, offset)
-        for i in range(min(n, 64)):
+        for i in range(min(n, len(data) // 8)):
             key, at = struct.unpack_from("<II", data, offset + 8 + 8 * i)
             kind, = struct.unpack_from("<I", data, offset + at)
             at += offset + 4

@@ -229,7 +229,7 @@ def _sheet_cells(root: ET.Element, shared: list[str], date_styles: set[int]) ->
 
 
 def _sheet_tables(cells: dict[tuple[int, int], str], merges: list[tuple[int, int, int, int]]) -> list[str]:
-    filled = {p for p in cells if p[0] <= 1000 and p[1] <= 100}
+    filled = set(cells)
     boxes = merge_boxes(components(filled) + [m for m in merges if any((r, c) in filled for r in range(m[0], m[2] + 1) for c in range(m[1], m[3] + 1))])
     out = []
     for r0, c0, r1, c1 in boxes:

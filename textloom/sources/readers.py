@@ -20,7 +20,7 @@ Reader = Callable[[bytes, str], tuple[str, dict[str, str]]]
 
 
 def sniff_doc(data: bytes) -> str:
-    """What a .doc file really is."""
+    """What a .doc file really is. HTML shows in its first kilobyte, as the format's own sniffers have it."""
     if data.startswith(b"{\\rtf") or data.lstrip(b"\xef\xbb\xbf\xff\xfe").startswith(b"{\\rtf"):
         return "rtf"
     if data.startswith(ole.MAGIC):
