@@ -65,3 +65,37 @@ def test_found_and_pieces(spark):
     assert [(p["piece_no"], p["start"], p["text"]) for p in pieces] == [(0, 0, "x" * 10), (1, 8, "xxx")]
     empty = frames(spark, [], [])
     assert S.oversized(*empty).count() == 0 and S.split_items(*empty).count() == 0
+
+
+def test_sizes_above_any_block():
+    """Pieces of millions of code points: positions are exact beyond 24 bits, and the bucketed table says what plain search says."""
+    from textloom.llm import splitting as S
+
+    text = ("word " * 199 + "end.\n\n") * 23_000
+    spans = S.pieces_of(text, 5_000_000, 1000)
+    assert all(0 < b - a <= 5_000_000 for a, b in spans) and spans[-1][1] == len(text)
+    assert all(n == e - 1000 for (_, e), (n, _) in zip(spans, spans[1:])) and all(text[e - 2 : e] == "\n\n" for _, e in spans[:-1])
+
+
+def test_bucketed_range_maximum():
+    import numpy as np
+
+    from textloom.llm import splitting as S
+
+    rng = np.random.default_rng(1)
+    strength = rng.integers(0, 9, 60_000).astype(np.uint8)
+    plain, bucketed = S.RangeMaximum(strength, 40_000), S.RangeMaximum(strength, S.BLOCK)
+    assert plain.step == 1 and bucketed.step == S.STEP
+    for low, high in sorted(rng.integers(0, 60_000, (500, 2)).tolist()):
+        low, high = min(low, high), min(max(low, high), min(low, high) + 39_999)
+        assert plain.strongest(low, high) == bucketed.strongest(low, high)
+
+
+def test_long_tags_are_not_cut():
+    from textloom.llm import splitting as S
+
+    tag = "[Image:" + "a/b " * 200 + ".png]"
+    text = "some words here " * 40 + tag + " more words" * 60
+    spans = S.pieces_of(text, 1200, 20)
+    at = text.index(tag)
+    assert not any(at < e < at + len(tag) for _, e in spans[:-1])

@@ -17,7 +17,6 @@ it, but still matches another term of the same skeleton; repeated rows are liste
 
 from __future__ import annotations
 
-import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,8 +30,10 @@ from pyspark.sql.types import StringType
 LOOKALIKE = [
     ("АВЕЅІЈКМНОРСТУХԌԚԜҮ", "ABESIJKMHOPCTYXGQWY"),
     ("аеѕіјорсухһԁԛԝӏ", "aesijopcyxhdqwl"),
-    ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ABEZHIKMNOPTYX"),
-    ("οονϲϳ", "oovcj"),
+    ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϿ", "ABEZHIKMNOPTYXCC"),
+    ("οονϲϳαρυιγ", "oovcjapuiy"),
+    ("ՏՍՕԼ", "SUOL"),
+    ("օսոզհցյգ", "ounqhgjq"),
     ("ᎪᏴᏟᎠᎬᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᏔᏃ", "ABCDEHJKLMPRSTVWZ"),
     ("ɑɡıɩ", "agii"),
     ("‐‑﹣－", "----"),
@@ -56,15 +57,23 @@ def _prototype(cp: int) -> str | None:
     return None
 
 
+class Prototypes(dict):
+    """The look-alike table, from the Unicode character database and the short lists above. Characters are looked up when they
+    are first met, so a worker pays for those of its texts only. A prototype is itself made of prototypes."""
+
+    def __missing__(self, cp: int) -> str:
+        c = chr(cp)
+        p = _LISTED.get(c, _prototype(cp) if cp >= 0x80 and not 0xD800 <= cp <= 0xDFFF else None)
+        self[cp] = out = c if p is None or p == c else p if p.isascii() else p.translate(self)
+        return out
+
+
+_LISTED = {odd: plain for a, b in LOOKALIKE for odd, plain in zip(a, b)}
+
+
 @lru_cache(maxsize=1)
-def prototypes() -> dict[int, str]:
-    """The look-alike table, built from the Unicode character database and the short lists above."""
-    table = {cp: p for cp in range(0x80, sys.maxunicode + 1) if not 0xD800 <= cp <= 0xDFFF and (p := _prototype(cp)) is not None}
-    for odd, plain in LOOKALIKE:
-        table.update(zip(map(ord, odd), plain))
-    for cp, p in table.items():  # a prototype is itself made of prototypes
-        table[cp] = p.translate(table) if not p.isascii() else p
-    return table
+def prototypes() -> Prototypes:
+    return Prototypes()
 
 
 def skeleton_of(text: str) -> str:

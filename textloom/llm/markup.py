@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType
 
 from textloom.functions.checkpoints import checkpointed
+from textloom.functions.once import once
 
 # fixed values: element names that are markup wherever they stand between angle brackets
 ELEMENTS = (
@@ -298,4 +299,5 @@ def with_markup(converted: DataFrame, elements: DataFrame) -> DataFrame:
 
 def clean_items(converted: DataFrame, elements: DataFrame) -> DataFrame:
     """(item_table, item_id, text) of every item, as clean text."""
-    return items(converted, elements).dropDuplicates(["item_table", "item_id"]).select("item_table", "item_id", _clean("text").alias("text"))
+    single = once(converted.select("convert_id", "content", "profile"), ["convert_id"]), once(elements.select("element_id", "element_type", "content"), ["element_id"])
+    return items(*single).select("item_table", "item_id", _clean("text").alias("text"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.functions.once import once
 from textloom.llm import encodings, lookalikes, markup, packing, residue, splitting, tokenizer, wrappers
 
 
@@ -26,13 +27,17 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record with its text restored as far as possible, and the mark of the affected ones; one row a key."""
-    return encodings.repaired(table(spark, sf_dir, "rtf_source_info"), table(spark, sf_dir, "csv_source_info")).dropDuplicates(["item_table", "item_id"])
+    rtf = once(table(spark, sf_dir, "rtf_source_info").select("source_id", "file_path", "content"), ["source_id"])
+    return encodings.repaired(rtf, once(table(spark, sf_dir, "csv_source_info").select("csv_id", "file_path", "parsed_rows"), ["csv_id"]))
 
 
 def _looking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = table(spark, sf_dir, "cell_info").select(F.lit("cell_info").alias("item_table"), F.col("cell_id").alias("item_id"), "text")
-    elements = table(spark, sf_dir, "docx_elements").select(F.lit("docx_elements").alias("item_table"), F.col("element_id").alias("item_id"), F.col("content").alias("text"))
-    return cells.unionByName(elements)
+    return _items(table(spark, sf_dir, "cell_info"), table(spark, sf_dir, "docx_elements"))
+
+
+def _items(cells: DataFrame, elements: DataFrame) -> DataFrame:
+    a = cells.select(F.lit("cell_info").alias("item_table"), F.col("cell_id").alias("item_id"), "text")
+    return a.unionByName(elements.select(F.lit("docx_elements").alias("item_table"), F.col("element_id").alias("item_id"), F.col("content").alias("text")))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +46,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each text in its one consistent form, one row a key."""
-    items = _looking(spark, sf_dir).filter(F.col("text").isNotNull()).dropDuplicates(["item_table", "item_id"])
+    cells, elements = (once(table(spark, sf_dir, t).select(k, v), [k]) for t, k, v in (("cell_info", "cell_id", "text"), ("docx_elements", "element_id", "content")))
+    items = _items(cells, elements).filter(F.col("text").isNotNull())
     return items.select("item_table", "item_id", lookalikes.consistent_form(F.col("text")).alias("form"))
 
 

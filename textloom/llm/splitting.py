@@ -13,7 +13,7 @@ Defined cases
     * no cut falls inside a tag ([Page Number: n], [Image:...]), a combining sequence or a surrogate pair, unless a
       single such run is longer than the whole window;
     * an overlap of the size or more is reduced to size - 1; a size below 1 raises ValueError;
-    * very long texts are cut block by block, so the table never covers more than `BLOCK` positions;
+    * very long texts are cut block by block; a block is `BLOCK` positions, or four pieces where these are longer;
     * ties and repeated rows give equal pieces; an empty table gives no rows.
 """
 
@@ -28,13 +28,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textloom.functions.once import once
+
 BLOCK = 1 << 18
+STEP = 1 << 12  # positions of one bucket where windows are longer than a quarter of a block
+PROFILE_ROWS = 1_000_000  # records up to which their profiles (some 20 bytes each) may be broadcast; beyond, the join shuffles
 PIECES = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("text", T.StringType())]))
 STARTS = T.ArrayType(T.IntegerType())
 
 # strengths, strongest first
 PAGE, PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD, SCRIPT, INSIDE, FORBIDDEN = 8, 7, 6, 5, 4, 3, 2, 1, 0
-_TAG = re.compile(r"\[(?:Page Number|Slide Number|Sheet|Image)\s*:[^\]\n]{0,300}\]", re.IGNORECASE)
+_TAG = re.compile(r"\[(?:Page Number|Slide Number|Sheet|Image)\s*:[^\]\n]*\]", re.IGNORECASE)
 _PAGE = re.compile(r"\[(?:Page Number|Slide Number|Sheet)\s*:", re.IGNORECASE)
 _SENTENCE_END = np.array([ord(c) for c in ".!?…。！？"], dtype=np.uint32)
 _CLAUSE_END = np.array([ord(c) for c in ",;:—–、，；："], dtype=np.uint32)
@@ -85,23 +89,40 @@ def strengths(text: str, cp: np.ndarray) -> np.ndarray:
 
 
 class RangeMaximum:
-    """Sparse table of keys strength * 2^24 + position: the maximum of a range is its strongest, rightmost cut."""
+    """Sparse table of keys strength * 2^40 + position: the maximum of a range is its strongest, rightmost cut. Where windows are
+    long, the table is over buckets of `STEP` positions, and a range's ends are looked at as they are; so the table stays
+    smaller than the text."""
 
     def __init__(self, strength: np.ndarray, longest: int):
-        level = strength.astype(np.uint32) << np.uint32(24) | np.arange(len(strength), dtype=np.uint32)
+        self.strength, self.step = strength, 1 if longest <= BLOCK // 4 else STEP
+        level = strength.astype(np.uint64) << np.uint64(40) | np.arange(len(strength), dtype=np.uint64)
+        if self.step > 1:
+            level = np.maximum.reduceat(level, np.arange(0, len(level), self.step))
         self.levels = [level]
         width = 1
-        while width * 2 <= min(longest, len(strength)):
+        while width * 2 <= min(longest // self.step + 1, len(level)):
             level = np.maximum(level[:-width], level[width:])
             self.levels.append(level)
             width *= 2
 
     def strongest(self, low: int, high: int) -> tuple[int, int]:
         """(position, strength) of the strongest cut in [low, high], the rightmost of equals."""
-        k = (high - low + 1).bit_length() - 1
+        first, last = (low, high) if self.step == 1 else (-(-low // self.step), (high + 1) // self.step - 1)
+        if first > last:
+            return self._direct(low, high)
+        k = (last - first + 1).bit_length() - 1
         row = self.levels[k]
-        key = max(int(row[low]), int(row[high - (1 << k) + 1]))
-        return key & 0xFFFFFF, key >> 24
+        key = max(int(row[first]), int(row[last - (1 << k) + 1]))
+        best = key & ((1 << 40) - 1), key >> 40
+        if self.step > 1:
+            ends = [self._direct(a, b) for a, b in ((low, first * self.step - 1), ((last + 1) * self.step, high)) if a <= b]
+            best = max([best, *ends], key=lambda x: (x[1], x[0]))
+        return best
+
+    def _direct(self, low: int, high: int) -> tuple[int, int]:
+        part = self.strength[low : high + 1][::-1]
+        at = int(part.argmax())
+        return high - at, int(part[at])
 
 
 def _cuts(table: RangeMaximum, base: int, offset: int, stop: int, size: int, overlap: int, start: int, length: int) -> tuple[list[tuple[int, int]], int]:
@@ -213,12 +234,14 @@ def with_limits(items: DataFrame, profiles: DataFrame, profile: str = "profile",
 def items_to_split(converted: DataFrame, chunks: DataFrame, profiles: DataFrame) -> DataFrame:
     """(item_table, item_id, text, __size, __overlap) of every item that is longer than its limit, by a length test in
     the scan. Chunks no longer than the smallest limit of all are passed by before the join that finds their
-    record's profile, so only candidates are shuffled."""
+    record's profile; that one moves no chunk while there are at most `PROFILE_ROWS` records."""
     least = profiles.agg(F.min("chunk_size")).scalar()
     records = with_limits(converted.filter(F.col("content").isNotNull()), profiles)
     own = records.select(F.lit("rtf_converted_data").alias("item_table"), F.col("convert_id").alias("item_id"), F.col("content").alias("text"), "__size", "__overlap")
     long = chunks.filter(F.length("text") > least).select("chunk_id", "convert_id", "text")
     profile_of = converted.select("convert_id", "profile").groupBy("convert_id").agg(F.max("profile").alias("profile"))
+    if converted.limit(PROFILE_ROWS + 1).count() <= PROFILE_ROWS:
+        profile_of = F.broadcast(profile_of)
     parts = with_limits(long.join(profile_of, "convert_id", "left"), profiles)
     cut = parts.select(F.lit("chunks").alias("item_table"), F.col("chunk_id").alias("item_id"), "text", "__size", "__overlap")
     return own.unionByName(cut).filter(F.length("text") > F.col("__size"))
@@ -233,6 +256,6 @@ def oversized(converted: DataFrame, chunks: DataFrame, profiles: DataFrame) -> D
 
 def split_items(converted: DataFrame, chunks: DataFrame, profiles: DataFrame) -> DataFrame:
     """(item_table, item_id, piece_no, start, text) of the pieces of every oversized item."""
-    todo = items_to_split(converted, chunks, profiles).dropDuplicates(["item_table", "item_id"])
+    todo = items_to_split(once(converted.select("convert_id", "content", "profile"), ["convert_id"]), once(chunks.select("chunk_id", "convert_id", "text"), ["chunk_id"]), profiles)
     cut = todo.select("item_table", "item_id", F.posexplode(pieces(F.col("text"), F.col("__size"), F.col("__overlap"))).alias("piece_no", "piece"))
     return cut.select("item_table", "item_id", "piece_no", F.col("piece.start").alias("start"), F.col("piece.text").alias("text"))
