@@ -41,6 +41,29 @@ def test_round_trips(spark):
 def test_every_chain_of_a_record_is_undone():
     import numpy as np
 
-    r = E.Repairer(np.zeros(2 * E.WORDS + E.PAIRS + E.SINGLES, dtype=np.float32), {})
-    r.options = {f"{c}ä": {i: (c, 14.0)} for i, c in enumerate("abcde")}.__getitem__
-    assert r.record(["aä bä cä", None, "dä eä"], "") == (["a b c", None, "d e"], "repaired")
+    r = E.Repairer(np.zeros(E.SIZE, dtype=np.float32))
+    r.kept = {f"{c}ä": {i: (c, 14.0)} for i, c in enumerate("abcde")}
+    assert r.record(["aä bä cä", None, "dä eä"], 0) == (["a b c", None, "d e"], "repaired")
+
+
+def test_posterior_is_normalised_and_pools_evidence():
+    import numpy as np
+
+    flat = np.zeros(E.SIZE, dtype=np.float32)
+    r = E.Repairer(flat)
+    r.kept = {"a": {0: ("x", 2.0), 1: ("y", -3.0)}, "b": {0: ("z", 3.0)}, "c": {}}
+    p = r.posterior({"a", "b", "c"}, 0)
+    assert abs(sum(p.values()) - 1) < 1e-9 and p[0] > p[-1] and 1 not in p
+    counts = flat[2 * E.WORDS + E.PAIRS + E.SINGLES :].reshape(E.POOLS, E.N_CHAINS + 1)
+    counts[7, 0], counts[7, 1] = 10, 90  # a pool in which the first chain is common
+    assert E.Repairer(flat).shares[7, 1] > E.Repairer(flat).shares[8, 1]
+
+
+def test_pairs_and_model_of_batches():
+    import numpy as np
+
+    first, second, of = E.pairs_of(["ab", "", "ж"])
+    assert [chr(x) for x in first] == ["^", "a", "b", "^", "^", "ж"] and [chr(x) for x in second] == ["a", "b", "$", "$", "ж", "$"] and of.tolist() == [0, 0, 0, 1, 2, 2]
+    model = E.SoundModel(np.zeros(E.SIZE, dtype=np.float32))
+    both = model.log_p(["one", "two"])
+    assert np.allclose(both, [model.log_p(["one"])[0], model.log_p(["two"])[0]])

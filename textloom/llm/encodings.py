@@ -4,10 +4,11 @@ A latent chain says how each word came about: it is sound, or its bytes were wri
 (sometimes twice). Every chain that can be undone gives a candidate text. Expectation-maximization over the corpus' distinct
 words learns two things at once: a language model of sound words (characters in pairs, and whole words) and, for each
 source and field pool, how common each chain is there. Weak evidence is so pooled across records. Then each record is
-repaired word by word, by the posterior of the chains.
+repaired word by word, by the normalised posterior of the chains.
 
 The E step runs distributed over the distinct words of each pool; what it returns are sums in a fixed number of hash
-buckets, so the model has one size (about 6 MB) whatever the corpus.
+buckets, of words, pairs, characters and pools alike, so the model has one size (about 13 MB) whatever the corpus. What other
+words leave in a bucket on average is taken off, so that crowded buckets say nothing rather than something wrong.
 
 Marks: "repaired" where a chain was undone, "lossy" where characters are lost (U+FFFD, question marks inside words), so
 that the text cannot be restored in whole.
@@ -27,6 +28,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
@@ -35,8 +37,8 @@ from textloom.functions.checkpoints import checkpointed
 
 ROUNDS = 4
 WORDS, PAIRS, SINGLES = 1 << 20, 1 << 18, 1 << 16
+POOLS = 1 << 14  # slots that pools are hashed to, so that what is known of them has one size however many folders there are
 SOUND_PRIOR = 0.9
-LONGEST = 40  # longer runs are no words (text of swapped bytes has no ASCII spaces); they teach the language model nothing
 
 # (read as, written as) of each chain that is considered, most common first
 CHAINS = [("cp1252", "utf-8"), ("latin-1", "utf-8"), ("cp949", "utf-8"), ("mac-roman", "utf-8"), ("cp1251", "utf-8"), ("cp850", "utf-8"), ("cp437", "utf-8"), ("koi8-r", "utf-8"),
@@ -103,36 +105,44 @@ def _bucket(key: str, size: int) -> int:
     return zlib.crc32(key.encode("utf-8", "surrogatepass")) % size
 
 
+def _mixed(a, b, size: int):
+    """Bucket of two code points, of numbers or of arrays."""
+    return (a * 2654435761 + b * 40503 + (a * 2654435761 >> 15)) & (size - 1)
+
+
 class SoundModel:
     """Log probability of a sound word, from pairs of characters. A pair is trusted only as far as its first character is
     common, so text made of rare characters alone is improbable, however regular it is. `raw` counts words as they stand."""
 
     def __init__(self, flat: np.ndarray):
         self.words, self.raw = flat[:WORDS], flat[WORDS : 2 * WORDS]
-        self.pairs, self.singles = flat[2 * WORDS : 2 * WORDS + PAIRS], flat[2 * WORDS + PAIRS :]
+        self.pairs, self.singles = flat[2 * WORDS : 2 * WORDS + PAIRS], flat[2 * WORDS + PAIRS : 2 * WORDS + PAIRS + SINGLES]
         self.n_chars = float(self.singles.sum())
         self.trust = max(50.0, self.n_chars / 2000)
-        self.kept: dict[str, float] = {}
+        self.noise = float(self.words.sum()) / WORDS, float(self.raw.sum()) / WORDS  # what other words leave in a bucket on average
 
-    def char(self, c: str) -> float:
-        return (float(self.singles[_bucket(c, SINGLES)]) + 0.02) / (self.n_chars + 0.02 * 60_000)
+    def log_pairs(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Log probability of each second character behind the first."""
+        seen, before = self.pairs[_mixed(first, second, PAIRS)], self.singles[_mixed(first, 0, SINGLES)]
+        char = (self.singles[_mixed(second, 0, SINGLES)] + 0.02) / (self.n_chars + 0.02 * 60_000)
+        return np.log((seen + self.trust * char) / (before + self.trust))
 
-    def pair(self, two: str) -> float:
-        p = self.kept.get(two)
-        if p is None:
-            if len(self.kept) > 500_000:
-                self.kept.clear()
-            seen, before = float(self.pairs[_bucket(two, PAIRS)]), float(self.singles[_bucket(two[0], SINGLES)])
-            p = self.kept[two] = math.log((seen + self.trust * self.char(two[1])) / (before + self.trust))
-        return p
-
-    def log_p(self, word: str) -> float:
-        marked = "^" + word + "$"
-        return sum(self.pair(marked[i : i + 2]) for i in range(len(word) + 1))
+    def log_p(self, texts: list[str]) -> np.ndarray:
+        first, second, of = pairs_of(texts)
+        return np.bincount(of, self.log_pairs(first, second), minlength=len(texts))
 
     def known(self, text: str, word: str) -> bool:
         """Whether `text` is common as a sound word beside the cases in which it stands garbled as `word`."""
-        return float(self.words[_bucket(text, WORDS)]) > 2 * float(self.raw[_bucket(word, WORDS)]) + 1
+        sound, garbled = float(self.words[_bucket(text, WORDS)]) - self.noise[0], float(self.raw[_bucket(word, WORDS)]) - self.noise[1]
+        return sound > 2 * max(0.0, garbled) + 1
+
+
+def pairs_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, second, which text) of every pair of characters of texts that are marked at both ends."""
+    points = np.frombuffer("".join(f"^{t}$" for t in texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+    lengths = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
+    at = np.arange(lengths.sum()) + np.repeat(np.arange(len(texts)), lengths)
+    return points[at], points[at + 1], np.repeat(np.arange(len(texts)), lengths)
 
 
 def _kinds(word: str) -> set[str]:
@@ -152,25 +162,6 @@ def first_guess(word: str) -> float:
     return 0.0 if kinds == {"c"} and any(c.isupper() for c in word[1:]) else 1.0
 
 
-def features(word: str, weight: float, sums: dict[int, float]) -> None:
-    """Add a sound word to the sums of the model's buckets (words, then pairs, then single characters)."""
-    k = _bucket(word, WORDS)
-    sums[k] = sums.get(k, 0.0) + weight
-    last = "^"
-    for c in word + "$":
-        k = 2 * WORDS + _bucket(last + c, PAIRS)
-        sums[k] = sums.get(k, 0.0) + weight
-        k = 2 * WORDS + PAIRS + _bucket(last, SINGLES)
-        sums[k] = sums.get(k, 0.0) + weight
-        last = c
-
-
-def model_of(buckets: np.ndarray, weights: np.ndarray) -> SoundModel:
-    flat = np.zeros(2 * WORDS + PAIRS + SINGLES, dtype=np.float32)
-    flat[buckets] = weights
-    return SoundModel(flat)
-
-
 def _familiar(text: str) -> float:
     """Share of characters that text of any of the scripts at hand is made of."""
     return sum(c < "\x7f" or "\xa1" <= c <= "\xff" or "\u0400" <= c <= "\u04ff" or "\uac00" <= c <= "\ud7a3" or "\u2010" <= c <= "\u2026" for c in text) / max(1, len(text))
@@ -180,128 +171,152 @@ N_CHAINS = len(CHAINS) + len(TWICE)
 UNIFORM = math.log(0.5 / N_CHAINS)
 
 
-def log_share(share: dict[int, float], chain: int) -> float:
-    """Log prior of a chain (-1: sound) in a pool; chains not met there keep a little."""
-    if not share:
-        return math.log(0.5) if chain < 0 else UNIFORM
-    return math.log(max(share.get(chain, 0.0), 0.02 / N_CHAINS))
-
-
-SUMS = "pool string, bucket long, weight double"
-
-
-def _sums(vocabulary: DataFrame, model, shares) -> DataFrame:
-    """One E step: sums by bucket, and by pool and chain. In the first round (no model) words count as first guessed."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        buckets: dict[int, float] = {}
-        chains: dict[tuple[str, int], float] = {}
-        for frame in frames:
-            for word, pools in zip(frame["word"], frame["pools"]):
-                n = sum(x["n"] for x in pools)
-                k = WORDS + _bucket(word, WORDS)
-                buckets[k] = buckets.get(k, 0.0) + n
-                if model is None:
-                    if (w := first_guess(word)) > 0:
-                        features(word, n * w, buckets)
-                    continue
-                if "\ufffd" in word or len(word) > LONGEST or _LOST.search(word):
-                    continue
-                options = [(-1, word), *candidates(word)]
-                fit = [model.value.log_p(t) for _, t in options]
-                total = [0.0] * len(options)
-                for x in pools:
-                    share = shares.value.get(x["pool"], {})
-                    score = [f + log_share(share, c) for f, (c, _) in zip(fit, options)]
-                    top = max(score)
-                    p = [math.exp(s - top) for s in score]
-                    mass = sum(p)
-                    for i, (c, _) in enumerate(options):
-                        if (w := x["n"] * p[i] / mass) > 1e-3:
-                            total[i] += w
-                            chains[x["pool"], c] = chains.get((x["pool"], c), 0.0) + w
-                for (_, t), w in zip(options, total):
-                    if w > 1e-3:
-                        features(t, w, buckets)
-        rows = [("", k, w) for k, w in buckets.items()] + [(pool, k, w) for (pool, k), w in chains.items()]
-        yield pd.DataFrame(rows, columns=["pool", "bucket", "weight"])
-
-    return vocabulary.mapInPandas(run, SUMS).groupBy("pool", "bucket").agg(F.sum("weight").alias("weight"))
-
-
-def learn(vocabulary: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, dict[str, dict[int, float]]]:
-    """The language model's buckets and the chains' shares by pool, from (word, pools). Pools are folders of sources, of
-    which there are few; words stay distributed."""
+SIZE = 2 * WORDS + PAIRS + SINGLES + POOLS * (N_CHAINS + 1)  # words, words as they stand, pairs, singles, chains by pool (sound first)
+
+
+def _shares(flat: np.ndarray) -> np.ndarray:
+    """Log prior of sound and of each chain in each pool; chains not met there keep a little."""
+    counts = flat[2 * WORDS + PAIRS + SINGLES :].reshape(POOLS, N_CHAINS + 1).astype(np.float64)
+    total = counts.sum(axis=1, keepdims=True)
+    share = counts / (total + 20.0)
+    share[:, 0] += 20.0 * SOUND_PRIOR / (total[:, 0] + 20.0)
+    known = np.log(np.maximum(share, 0.02 / N_CHAINS))
+    blank = np.full(N_CHAINS + 1, UNIFORM)
+    blank[0] = math.log(0.5)
+    return np.where(total > 0, known, blank).astype(np.float32)
+
+
+def _sums(vocabulary: DataFrame, known) -> DataFrame:
+    """One E step: (place, weight), sums by bucket and by pool and chain. In the first round (nothing known) words count as first
+    guessed. A task adds up in one array of fixed size and emits what of it is not zero."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat = np.zeros(SIZE)
+        model, shares = (None, None) if known is None else known.value
+        for batch in batches:
+            words = batch.column("word").to_pylist()
+            pools, options = batch.column("pools"), batch.column("options")
+            word_of_pool = np.repeat(np.arange(len(words)), np.diff(pools.offsets.to_numpy()))
+            slot, n = (pools.flatten().field(i).to_numpy() for i in (0, 1))
+            times = np.bincount(word_of_pool, n, minlength=len(words))
+            own = np.fromiter((_bucket(w, WORDS) for w in words), dtype=np.int64, count=len(words))
+            flat += np.bincount(WORDS + own, times, minlength=SIZE)
+            if model is None:
+                texts, weight = words, times * np.fromiter(map(first_guess, words), dtype=float, count=len(words))
+            else:
+                heard = np.array(["\ufffd" not in w and not _LOST.search(w) for w in words])
+                # the options of each word, itself first, then each of its pools with each of these
+                n_options = np.diff(options.offsets.to_numpy()) + 1
+                starts = np.cumsum(n_options) - n_options
+                texts, chain = np.empty(n_options.sum(), dtype=object), np.zeros(n_options.sum(), dtype=np.int64)
+                texts[starts] = words
+                rest = np.ones(len(texts), dtype=bool)
+                rest[starts] = False
+                texts[rest], chain[rest] = options.flatten().field(1).to_pylist(), options.flatten().field(0).to_numpy() + 1
+                texts = list(texts)
+                fit = model.log_p(texts)
+                count = n_options[word_of_pool]
+                row = np.repeat(np.arange(len(slot)), count)
+                option = starts[word_of_pool][row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                score = fit[option] + shares[slot[row], chain[option]]
+                top = np.full(len(slot), -np.inf)
+                np.maximum.at(top, row, score)
+                p = np.exp(score - top[row])
+                p *= (n * heard[word_of_pool])[row] / np.bincount(row, p, minlength=len(slot))[row]
+                flat += np.bincount(2 * WORDS + PAIRS + SINGLES + slot[row] * (N_CHAINS + 1) + chain[option], p, minlength=SIZE)
+                weight = np.bincount(option, p, minlength=len(texts))
+                own = np.fromiter((_bucket(t, WORDS) for t in texts), dtype=np.int64, count=len(texts))
+            first, second, of = pairs_of(texts)
+            flat += np.bincount(own, weight, minlength=SIZE)
+            flat += np.bincount(2 * WORDS + _mixed(first, second, PAIRS), weight[of], minlength=SIZE)
+            flat += np.bincount(2 * WORDS + PAIRS + _mixed(first, 0, SINGLES), weight[of], minlength=SIZE)
+        place = np.flatnonzero(flat)
+        yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(flat[place])], names=["place", "weight"])
+
+    return vocabulary.mapInArrow(run, "place long, weight double").groupBy("place").agg(F.sum("weight").alias("weight"))
+
+
+def learn(vocabulary: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
+    """The language model's buckets and the chains' sums by pool, in one array of fixed size, from (word, pools, options): a
+    first guess, then `rounds` rounds. Words stay distributed; the driver adds nothing up and holds one such array."""
     sc = vocabulary.sparkSession.sparkContext
-    model, shares = None, sc.broadcast({})
-    flat = np.zeros(2 * WORDS + PAIRS + SINGLES, dtype=np.float32)
+    known, flat = None, np.zeros(SIZE, dtype=np.float32)
     for _ in range(rounds + 1):
-        got = _sums(vocabulary, model, shares).toPandas()
-        words = got[got["pool"] == ""]
-        flat = np.zeros(2 * WORDS + PAIRS + SINGLES, dtype=np.float32)
-        flat[words["bucket"].to_numpy(np.int64)] = words["weight"].to_numpy(np.float32)
-        found: dict[str, dict[int, float]] = {}
-        for pool, k, w in got[got["pool"] != ""].itertuples(index=False):
-            found.setdefault(pool, {})[int(k)] = w
-        for own in found.values():
-            total = sum(own.values()) + 20.0
-            for k in own:
-                own[k] = (own[k] + (20.0 * SOUND_PRIOR if k < 0 else 0.0)) / total
-        model, shares = sc.broadcast(SoundModel(flat)), sc.broadcast(found)
-    return flat, shares.value
+        got = _sums(vocabulary, known).toArrow()
+        flat = np.zeros(SIZE, dtype=np.float32)
+        flat[got.column("place").to_numpy()] = got.column("weight").to_numpy()
+        known = sc.broadcast((SoundModel(flat), _shares(flat)))  # some 13 MB whatever the input
+    return flat
+
+
+# log odds that a word can add at most, by what it would be restored to: the rate at which sound words that the model finds odd
+# turn up (names, loan words) is e to the minus this
+KNOWN, ONE_SCRIPT, UNKNOWN, MIXED, LONE = 14.0, 4.0, 2.0, 1.0, 0.5
+LEAST_PRIOR = -4.0  # log prior that a record keeps for a chain which its pool has not shown
+SURE = 0.73  # posterior of being garbled from which on a record is repaired
 
 
 class Repairer:
-    """Repairs records by the learned posterior: the evidence of a record's words for a chain adds up. A word's evidence is
-    limited where what it would be restored to is no word known beside it, so that a rare sound word alone decides nothing."""
+    """Repairs records by the posterior of the chains. A record's prior is its pool's; each of its words adds the log odds of what
+    the chain would restore it to, against the word as it stands: sound by the language model, or odd at the rate of its kind."""
 
-    def __init__(self, flat: np.ndarray, shares: dict[str, dict[int, float]], threshold: float = 5.0):
-        self.model, self.shares, self.threshold = SoundModel(flat), shares, threshold
+    def __init__(self, flat: np.ndarray):
+        self.model, self.shares = SoundModel(flat), _shares(flat)
         self.kept: dict[str, dict[int, tuple[str, float]]] = {}
 
-    def options(self, word: str) -> dict[int, tuple[str, float]]:
-        """chain -> (text, log odds against sound)"""
-        if word not in self.kept:
-            if len(self.kept) > 300_000:
-                self.kept.clear()
-            sound = self.model.log_p(word)
-            out = {}
-            for k, text in candidates(word):
-                written = (CHAINS + TWICE)[k][1]
-                if written.startswith("utf-16"):
-                    swapped = len(word) >= 2 and _familiar(text) >= 0.95 and _familiar(word) < 0.5
-                    out[k] = (text, min(14.0, 3.0 * len(word)) if swapped else -1.0)
-                    continue
-                odds = self.model.log_p(text) - sound
-                if written == "utf-8":
-                    limit = 14.0 if self.model.known(text, word) else 4.0 if len(_kinds(text)) <= 1 else 1.0
-                elif len(core := text.strip("¿¡«»…–—")) < 2 or not core.isalpha():
-                    limit = 0.5  # a lone letter or sign is no evidence in a one-byte encoding
-                else:
-                    limit = 14.0 if self.model.known(text, word) else 2.0
-                out[k] = (text, min(odds, limit))
-            self.kept[word] = out
-        return self.kept[word]
-
-    def record(self, parts: list[str | None], pool: str) -> tuple[list[str | None], str]:
+    def _rate(self, word: str, chain: int, text: str) -> float:
+        written = (CHAINS + TWICE)[chain][1]
+        if self.model.known(text, word):
+            return KNOWN
+        if written.startswith("utf-16"):
+            return min(KNOWN, 3.0 * len(word)) if len(word) >= 2 and _familiar(text) >= 0.95 and _familiar(word) < 0.5 else MIXED
+        if written == "utf-8":
+            return ONE_SCRIPT if len(_kinds(text)) <= 1 else MIXED
+        return UNKNOWN
+
+    def look(self, words: list[str]) -> None:
+        """Fill `kept` for these words: chain -> (text, log odds against the word as it stands)."""
+        if len(self.kept) > 300_000:
+            self.kept.clear()
+        new = [w for w in words if w not in self.kept]
+        every = [(w, k, t) for w in new for k, t in candidates(w)]
+        fit = self.model.log_p(new + [t for _, _, t in every]) if new else []
+        sound = dict(zip(new, fit))
+        for w in new:
+            self.kept[w] = {}
+        for (w, k, t), f in zip(every, fit[len(new) :]):
+            core = t.strip("¿¡«»…–—")
+            single = (CHAINS + TWICE)[k][1] not in ("utf-8", "utf-16-le", "utf-16-be")
+            limit = LONE if single and (len(core) < 2 or not core.isalpha()) else self._rate(w, k, t)  # a lone letter or sign is no evidence in a one-byte encoding
+            odds = f - sound[w]
+            self.kept[w][k] = (t, float(-np.logaddexp(-odds, -limit)))
+
+    def posterior(self, words: set[str], pool: int) -> dict[int, float]:
+        """Probability of each chain, and of -1 for sound. A word that a chain would not better is sound under it too."""
+        score: dict[int, float] = {}
+        for w in words:
+            for k, (_, odds) in self.kept[w].items():
+                if odds > 0:
+                    score[k] = score.get(k, 0.0) + odds
+        prior = self.shares[pool]
+        logs = {k: v + max(LEAST_PRIOR, float(prior[k + 1])) for k, v in score.items()} | {-1: float(prior[0])}
+        top = max(logs.values())
+        mass = sum(math.exp(v - top) for v in logs.values())
+        return {k: math.exp(v - top) / mass for k, v in logs.items()}
+
+    def record(self, parts: list[str | None], pool: int) -> tuple[list[str | None], str]:
         """(restored parts, mark); mark is '', 'repaired' or 'lossy'."""
-        share = self.shares.get(pool, {})
         words = {m[1] for t in parts if t and not (t.isascii() and "?" not in t) for m in words_of(t)}
-        lossy = any("\ufffd" in w or _LOST.search(w) or any("\x80" <= c <= "\x9f" for c in w) and not self.options(w) for w in words)
+        self.look(sorted(words))
+        lossy = any("\ufffd" in w or _LOST.search(w) or any("\x80" <= c <= "\x9f" for c in w) and not self.kept[w] for w in words)
         fixed: dict[str, str] = {}
         left = words
         while left:  # every round takes words away
-            evidence: dict[int, float] = {}
-            for w in left:
-                for k, (_, odds) in self.options(w).items():
-                    if odds > 0:
-                        evidence[k] = evidence.get(k, 0.0) + odds
-            if not evidence:
+            p = self.posterior(left, pool)
+            if 1 - p.pop(-1) < SURE or not p:
                 break
-            chain, total = max(evidence.items(), key=lambda x: (x[1] + max(-4.0, log_share(share, x[0])), -x[0]))
-            if total + max(-4.0, log_share(share, chain)) - log_share(share, -1) < self.threshold - 4.0:
-                break
-            now = {w: self.options(w)[chain][0] for w in left if chain in self.options(w) and self.options(w)[chain][1] > 0}
+            chain = max(p.items(), key=lambda x: (x[1], -x[0]))[0]
+            now = {w: self.kept[w][chain][0] for w in left if chain in self.kept[w] and self.kept[w][chain][1] > 0}
             fixed |= now
             left = left - now.keys()
         mark = "lossy" if lossy else "repaired" if fixed else ""
@@ -314,21 +329,26 @@ RESULT = StructType([StructField("parts", ArrayType(StringType())), StructField(
 
 
 def vocabulary_of(records: DataFrame) -> DataFrame:
-    """(word, pools) of (pool, parts): each word that holds anything beyond ASCII, with the number of records of each
-    pool that it stands in."""
+    """(word, pools, options) of (pool, parts): each word that holds anything beyond ASCII, with the number of records of each
+    pool that it stands in (at most `POOLS`), and what each chain would restore it to, worked out once for all rounds."""
 
     @F.pandas_udf(ArrayType(StringType()))
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for series in batches:
             yield pd.Series([list({m[1] for t in parts if t and not (t.isascii() and "?" not in t) for m in words_of(t)}) for parts in series], dtype=object)
 
+    @F.pandas_udf("array<struct<chain: int, text: string>>")
+    def undone(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for series in batches:
+            yield pd.Series([[{"chain": k, "text": t} for k, t in candidates(w)] for w in series], dtype=object)
+
     words = records.select("pool", F.explode(cut("parts")).alias("word")).groupBy("word", "pool").agg(F.count("*").cast("double").alias("n"))
-    return words.groupBy("word").agg(F.collect_list(F.struct("pool", "n")).alias("pools"))
+    return words.groupBy("word").agg(F.collect_list(F.struct("pool", "n")).alias("pools")).withColumn("options", undone("word"))
 
 
 def _pool(path: Column, field: str) -> Column:
-    """Source and field pool: the first two folders of the source and the field."""
-    return F.concat(F.lit(field + ":"), F.coalesce(F.regexp_extract(path, r"^([^/]*/[^/]*)/", 1), F.lit("")))
+    """Source and field pool: the first two folders of the source and the field, as one of `POOLS` slots."""
+    return F.pmod(F.xxhash64(F.lit(field), F.coalesce(F.regexp_extract(path, r"^([^/]*/[^/]*)/", 1), F.lit(""))), F.lit(POOLS)).cast("int")
 
 
 def records_of(rtf: DataFrame, csv: DataFrame) -> DataFrame:
@@ -346,7 +366,7 @@ def repaired(rtf: DataFrame, csv: DataFrame) -> DataFrame:
 
     @F.pandas_udf(RESULT)
     def fix(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        repairer = Repairer(*known.value)
+        repairer = Repairer(known.value)
         for series, pools in batches:
             rows = [repairer.record(list(parts), p) for parts, p in zip(series, pools)]
             yield pd.DataFrame([(t, m or None) for t, m in rows], columns=["parts", "mark"])
