@@ -121,3 +121,13 @@ def test_frames(spark):
     assert {i: [r["text"] for r in sorted(rows, key=lambda r: r["chunk_index"]) if r["doc_id"] == i] for i in want} == want
     placed = C.chunk_documents(df, positions=True).filter("doc_id = 2").count()
     assert placed == len(want[2])
+
+
+def test_segments_by_one_scan():
+    text = "[Sheet: A]\nintro words\n[Table 1]\n| a | b |\n| 1 | 2 |\n\nbetween\n| x | y |\n| --- | --- |\n| 1 | 2 |\n[textbox]| not | a table |[/textbox]\n[Image:p.png] tail\n[Sheet: B]\n\n[Sheet: C]\n<TABLE border=\"1\"><tr><td>[Image:q.png]</td></tr></TABLE>"
+    (a, first), (c, second) = sheets_of(text)
+    assert (a, c) == ("A", "C")
+    assert [k for k, _ in segments_of(first)] == ["text", "table", "text", "table", "textbox", "image", "text"]
+    assert [k for k, _ in segments_of(second)] == ["table"] and segments_of("") == [] and segments_of("[Table 3]") == []
+    joined = "".join(x for _, x in segments_of(first))
+    assert sorted(joined.split()) == sorted(first.split()) or "".join(joined.split()) == "".join(first.split())

@@ -103,3 +103,17 @@ def test_decimals_that_do_not_fit_keep_their_text(spark):
     df = spark.createDataFrame([(values, " ".join(["decimal"] * 5), list("abcde"))], "fields array<string>, layout string, names array<string>")
     got = [(x["decimal"], x["text"]) for x in df.select(R.typed_columns(df.fields, df.layout, df.names)).first()[0]]
     assert got == [(None, values[0]), (Decimal(0), values[1]), (Decimal("1." + "5" * 12), None), (Decimal("9" * 26 + ".5"), None), (Decimal(12), None)]
+
+
+def test_file_is_read_beyond_a_broken_quote(spark):
+    from pyspark.sql import functions as F
+
+    from textloom.operators.csv_tables import parse
+    from textloom.operators.records import parse_file
+
+    text = 'a;b\n"one;1\n"two";2\n3;4'
+    df = spark.createDataFrame([(1, text, ";", 2), (2, None, ";", 2), (3, "", None, None), (4, '"x;y', ";", None)], "i int, t string, d string, w int")
+    got = {r["i"]: r["f"] for r in df.select("i", parse_file("t", F.col("d"), F.col("w")).alias("f")).collect()}
+    assert [(r["start"], r["fault"] is not None) for r in got[1]] == [(0, False), (4, True), (11, False), (19, False)] and got[1][2]["fields"] == ["two", "2"]
+    assert got[2] is None and got[3] == [] and len(got[4]) == 1 and got[4][0]["fault"]
+    assert [r for r in parse(text, ";") if r[0] in ("two", "3")] == [["two", "2"], ["3", "4"]]

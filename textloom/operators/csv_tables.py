@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from textloom.functions.text import escape_html, is_numeric, strip
+from textloom.operators.record_grammar import RecordGrammar
 
 # fixed values: delimiters tried, in order
 CANDIDATES = (",", "\t", ";", "|")
@@ -33,9 +34,15 @@ def sniff(content: str) -> str:
 
 
 def parse(content: str, delimiter: str, max_rows: int | None = None, max_columns: int | None = None) -> list[list[str]]:
-    """Rows that are not blank; where quoting is hopeless, by plain splitting. Nothing is cut unless a limit is given."""
+    """Rows that are not blank. A file with a quote that is never closed is read by the recovering grammar, which takes up again at
+    the next line that starts a whole record as wide as the first; where the reader gives up, by plain splitting. Nothing
+    is cut unless a limit is given."""
     text = content.replace("\r\n", "\n").replace("\r", "\n")
     out = []
+    if text.count('"') % 2:
+        width = len(RecordGrammar(delimiter).record(text).fields)
+        rows = [r.fields for r in RecordGrammar(delimiter, width).file(text)[:max_rows]]
+        return [r[:max_columns] for r in rows if any(c.strip() for c in r)]
     try:
         for i, row in enumerate(csv.reader(io.StringIO(text), delimiter=delimiter, skipinitialspace=True)):
             if max_rows is not None and i >= max_rows:

@@ -93,11 +93,13 @@ class RecordGrammar:
         while at < len(text):
             rec = self.record(text, at)
             if rec.issues:
+                out.append(rec)
                 first = self._newline.search(text, rec.start)
                 while first is not None and not self._anchored(text, first.end()):
                     first = self._newline.search(text, first.end())
                 rec.end = len(text) if first is None else first.start()
-            out.append(rec)
+            else:
+                out.append(rec)
             m = self._newline.match(text, rec.end)
             at = rec.end if m is None else m.end()
             if m is None and at < len(text):

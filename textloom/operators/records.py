@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.functions.once import once
-from textloom.operators.record_grammar import check_values, grammar
+from textloom.operators.record_grammar import RecordGrammar, check_values, grammar
 
 FORMAT_ROWS = 500_000  # sources up to which their formats (some 100 bytes each) may be broadcast; beyond, the join shuffles
 
@@ -116,6 +116,25 @@ def _parse_batches(with_fields: bool):
     return parse
 
 
+FILE = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("fields", T.ArrayType(T.StringType())), T.StructField("fault", T.StringType()), T.StructField("offset", T.IntegerType())]))
+
+
+@F.pandas_udf(FILE)
+def parse_file(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """The records of a whole file (text, delimiter, columns), each with where it stands and its first syntax error. Behind an
+    error the grammar takes up again at the next line start from which a whole record of that many columns parses. Null text
+    gives null; without columns any sound record is an anchor."""
+    for texts, delimiters, widths in batches:
+        out = []
+        for text, d, width in zip(texts, delimiters, widths):
+            if text is None:
+                out.append(None)
+                continue
+            found = RecordGrammar(d or ",", None if pd.isna(width) else int(width)).file(text)
+            out.append([{"start": r.start, "end": r.end, "fields": r.fields, "fault": r.issues[0].message if r.issues else None, "offset": r.issues[0].offset if r.issues else None} for r in found])
+        yield pd.Series(out, dtype=object)
+
+
 def read_records(records: DataFrame, sources: DataFrame, layouts: DataFrame, with_fields: bool = True) -> DataFrame:
     """(record_id, csv_id, record_no, layout, names, outcome): each data record with its fields, or with the reason, column
     and offset of its failure. The formats are broadcast if there are at most `FORMAT_ROWS` sources by count, so that no record

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from textloom.functions.once import once
 from textloom.operators import records, timestamps
@@ -36,7 +37,19 @@ def p5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.typed_records(*_csv(spark, sf_dir))
 
 
-QUERIES = {"p2_found": p2_found, "p2_instants": p2_instants, "p5_found": p5_found, "p5_records": p5_records}
+def p5_recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows at the start of each source, written as a file of quoted fields in which the second record lacks its last quote:
+    how many records are read, how many with a fault, and where the grammar took up again."""
+    rows = F.transform("parsed_rows", lambda r: F.concat(F.lit('"'), F.array_join(F.transform(r, lambda c: F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""'))), '";"'), F.lit('"')))
+    sources = once(table(spark, sf_dir, "csv_source_info").select("csv_id", "parsed_rows"), ["csv_id"]).filter((F.size("parsed_rows") >= 3) & F.forall("parsed_rows", lambda r: F.size(r) == F.size(F.get("parsed_rows", 0))) & (F.size(F.get("parsed_rows", 0)) >= 2))
+    lines = sources.select("csv_id", F.size(F.get("parsed_rows", 0)).alias("width"), rows.alias("lines"))
+    broken = F.transform("lines", lambda x, i: F.when(i == 1, F.expr("substring(lines[1], 1, length(lines[1]) - 1)")).otherwise(x))
+    files = lines.select("csv_id", records.parse_file(F.array_join(broken, "\n"), F.lit(";"), F.col("width")).alias("f"))
+    resumed = F.get(F.col("f"), 2)["start"]
+    return files.select("csv_id", F.size("f").cast("long").alias("records"), F.size(F.filter("f", lambda r: r["fault"].isNotNull())).cast("long").alias("faults"), resumed.cast("long").alias("resumed_at"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_instants": p2_instants, "p5_found": p5_found, "p5_records": p5_records, "p5_recovered": p5_recovered}
 
 
 def _p5_sql() -> str:
@@ -64,4 +77,10 @@ def _p5_sql() -> str:
     SELECT record_id, reason FROM x WHERE reason IS NOT NULL"""
 
 
-SQL: dict[str, str] = {"p5_found": _p5_sql()}
+_P5_RECOVERED = """
+    WITH s AS (SELECT csv_id, any_value(parsed_rows) AS rows FROM csv_source_info WHERE parsed_rows IS NOT NULL GROUP BY csv_id),
+    l AS (SELECT csv_id, rows, list_transform(rows, lambda r: '"' || array_to_string(list_transform(r, lambda c: replace(coalesce(c, ''), '"', '""')), '";"') || '"') AS lines FROM s
+        WHERE len(rows) >= 3 AND len(rows[1]) >= 2 AND len(list_filter(rows, lambda r: len(r) = len(rows[1]))) = len(rows))
+    SELECT csv_id, len(lines) AS records, 1::BIGINT AS faults, length(lines[1]) + length(lines[2]) + 1 AS resumed_at FROM l"""
+
+SQL: dict[str, str] = {"p5_found": _p5_sql(), "p5_recovered": _P5_RECOVERED}
