@@ -262,14 +262,21 @@ def distinct_images(spark, sf):
 # metadata and charts
 
 _META = """
-    WITH d AS (SELECT DISTINCT meta_id, title, subject, author, keywords, comments, last_saved_by FROM document_metadata),
-    b AS (SELECT meta_id, list_filter(['  Title: ' || nullif(title, ''), '  Subject: ' || nullif(subject, ''), '  Author: ' || nullif(author, ''), '  Keywords: ' || nullif(keywords, ''), '  Comments: ' || nullif(comments, ''), '  Last Saved By: ' || nullif(last_saved_by, '')], lambda x: x IS NOT NULL) AS lines FROM d)"""
+    WITH d AS (SELECT DISTINCT ON (meta_id) meta_id, title, subject, author, keywords, comments, last_saved_by, custom, TIMESTAMP '2020-01-01' + to_days((meta_id % 1000)::INTEGER) AS day FROM document_metadata),
+    b AS (SELECT meta_id, list_concat(list_filter(['  Title: ' || nullif(title, ''), '  Subject: ' || nullif(subject, ''), '  Author: ' || nullif(author, ''), '  Keywords: ' || nullif(keywords, ''), '  Comments: ' || nullif(comments, ''), '  Last Saved By: ' || nullif(last_saved_by, ''),
+            '  Created: ' || strftime(day, '%Y-%m-%d %H:%M:%S'), '  Last Modified: ' || strftime(day + INTERVAL 3600 SECOND, '%Y-%m-%d %H:%M:%S')], lambda x: x IS NOT NULL),
+        coalesce(list_transform(list_filter(custom, lambda x: x.v IS NOT NULL), lambda x: '  K/' || replace(x.k, '_', ' ') || ': ' || x.v), [])) AS lines FROM d)"""
 _BLOCK = "CASE WHEN len(lines) = 0 THEN '' ELSE '<Document-Metadata>' || chr(10) || array_to_string(lines, chr(10)) || chr(10) || '</Document-Metadata>' END"
 
 
 def _metadata(spark, sf):
+    """All eight fields and the custom ones. The dates are made from the key, since the table's own times are text of
+    many forms; `K/` before a custom key keeps it from being put into title case."""
     keys = ["title", "subject", "author", "keywords", "comments", "last_saved_by"]
-    return table(spark, sf, "document_metadata").dropDuplicates(["meta_id"]).select("meta_id", blocks.metadata_block({k: F.col(k) for k in keys}).alias("block"))
+    rows = once(table(spark, sf, "document_metadata").select("meta_id", *keys, "custom", F.expr("timestamp_ntz '2020-01-01 00:00:00' + make_dt_interval(cast(meta_id % 1000 as int))").alias("day")), ["meta_id"])
+    fields = {k: F.col(k) for k in keys} | {"create_time": F.col("day"), "last_saved_time": F.col("day") + F.expr("INTERVAL 1 HOUR")}
+    custom = F.transform("custom", lambda x: F.struct(F.concat(F.lit("K/"), x["k"]).alias("k"), x["v"].alias("v")))
+    return rows.select("meta_id", blocks.metadata_block(fields, custom).alias("block"))
 
 
 @query(_META + f" SELECT meta_id, {_BLOCK} AS block FROM b")
@@ -432,7 +439,14 @@ def parse_html_table(spark, sf):
     return d.filter("n > 1").select("n_regionkey", parsed(html).alias("t")).select("n_regionkey", "t.*")
 
 
-@query()
+@query("""
+    WITH d AS (SELECT element_id, any_value(content) AS t FROM docx_elements WHERE element_type = 'table' AND content IS NOT NULL GROUP BY element_id),
+    r AS (SELECT element_id, t, regexp_extract_all(t, '(?is)<tr[^>]*>(.*?)</tr>', 1) AS trs FROM d),
+    n AS (SELECT element_id, t, list_transform(trs, lambda x: [len(regexp_extract_all(x, '(?is)<th[^>]*>.*?</th>')), len(regexp_extract_all(x, '(?is)<td[^>]*>.*?</td>'))]) AS k FROM r),
+    f AS (SELECT *, coalesce(list_position(list_transform(k, lambda x: NOT (x[1] > 0 AND x[2] = 0)), true) - 1, CASE WHEN len(k) > 0 THEN len(k) END) AS heads FROM n)
+    SELECT element_id, CASE WHEN len(k) > 0 THEN (len(k) - heads)::BIGINT END AS rows, CASE WHEN len(k) > 0 THEN heads::INTEGER END AS header_rows,
+        list_max(list_transform(k, lambda x: CASE WHEN x[1] > 0 AND x[2] = 0 THEN x[1] ELSE x[2] END))::INTEGER AS columns,
+        CASE WHEN len(k) > 0 THEN len(list_filter(regexp_extract_all(t, '(?i)rowspan=["'']?([0-9]+)', 1), lambda x: x::INTEGER > 1)) > 0 END AS spans FROM f""")
 def parse_docx_tables(spark, sf):
     """Every table of the documents' elements, parsed; nulls where there is no table in it."""
 
@@ -501,7 +515,7 @@ def region_split(spark, sf):
     return d.select("convert_id", checked("text").alias("c")).select("convert_id", "c.*")
 
 
-@query("SELECT r_regionkey, count(*) AS chunks FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey, r_name HAVING 1 = 1")
+@query("SELECT n_regionkey AS r_regionkey, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name || ']') - 1 AS INTEGER) AS chunk_index, '[Sheet: ' || n_name || ']' || chr(10) || '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || n_nationkey || ' | ' || n_name || ' |' AS text FROM nation")
 def sheet_chunks(spark, sf):
     """Nations as sheets of one row each, per region: one chunk a sheet, under its tag."""
     sheet = F.concat(F.lit("[Sheet: "), "n_name", F.lit("]\n| key | name |\n| --- | --- |\n| "), F.col("n_nationkey").cast("string"), F.lit(" | "), "n_name", F.lit(" |"))
@@ -511,7 +525,7 @@ def sheet_chunks(spark, sf):
     def chunks(t):
         return sheets.chunk_sheet_text(t, 1000)
 
-    return books.select("r_regionkey", F.size(chunks("text")).cast("long").alias("chunks"))
+    return books.select("r_regionkey", F.posexplode(chunks("text")).alias("chunk_index", "text"))
 
 
 @query()
@@ -528,11 +542,15 @@ def csv_sheet_chunks(spark, sf):
     return books.select("book", F.posexplode(chunks("text")).alias("chunk_index", "text"))
 
 
-@query("WITH " + _R + " SELECT convert_id, count(*) AS documents FROM r GROUP BY convert_id")
+@query("""
+    WITH c AS (SELECT DISTINCT chunk_id, convert_id, chunk_index, text FROM chunks WHERE convert_id IS NOT NULL AND text IS NOT NULL AND chunk_index IS NOT NULL),
+    n AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY convert_id) AS n FROM c WINDOW w AS (PARTITION BY convert_id ORDER BY chunk_index, text))
+    SELECT convert_id, '---' || chr(10) || 'total_chunks: ' || any_value(n) || chr(10) || 'source_file: ' || convert_id || chr(10) || '---' || chr(10) || chr(10)
+        || string_agg('## Chunk ' || i || '/' || n || chr(10) || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY i) || chr(10) AS markdown FROM n GROUP BY convert_id""")
 def markdown_sink(spark, sf):
-    chunks = chunking.chunk_documents(_converted(spark, sf), key="convert_id")
-    md = sinks.markdown_documents(chunks, "convert_id")
-    return md.filter(F.col("markdown").startswith("---\ntotal_chunks: ")).groupBy("convert_id").agg(F.count("*").alias("documents"))
+    """The chunks of each record as one Markdown document."""
+    c = table(spark, sf, "chunks").filter(F.col("convert_id").isNotNull() & F.col("text").isNotNull() & F.col("chunk_index").isNotNull()).select("chunk_id", "convert_id", "chunk_index", "text")
+    return sinks.markdown_documents(once(c, ["chunk_id"]).drop("chunk_id"), "convert_id")
 
 
 # geometry: cells of a grid stand for the elements of a page
@@ -665,13 +683,14 @@ def table_text(spark, sf):
     return _csv(spark, sf).select("csv_id", csv_tables.table_text(F.col("rows")).alias("text"), csv_tables.single_column_text(F.col("rows")).alias("first_column"))
 
 
-@query("SELECT p_brand, ';' AS delimiter, count(*) + 1 AS rows FROM part GROUP BY p_brand")
+@query("""SELECT p_brand, p_partkey // 1000 AS block, ';' AS delimiter, 'key,name,type,size' || chr(10) || string_agg(p_partkey || ',' || p_name || ',' || p_type || ',' || p_size, chr(10) ORDER BY p_partkey::VARCHAR || ';') AS cells FROM part GROUP BY ALL""")
 def csv_parse(spark, sf):
-    """Parts of a brand written as a delimited file with quoted fields, sniffed and parsed again."""
+    """Parts of a brand and thousand of keys written as a delimited file with quoted fields, sniffed and parsed again."""
     line = F.concat(F.col("p_partkey").cast("string"), F.lit(';"'), "p_name", F.lit('";'), "p_type", F.lit(";"), F.col("p_size").cast("string"))
-    files = table(spark, sf, "part").groupBy("p_brand").agg(F.concat(F.lit("key;name;type;size\n"), F.array_join(F.array_sort(F.collect_list(line)), "\n")).alias("content"))
+    files = table(spark, sf, "part").groupBy("p_brand", F.floor(F.col("p_partkey") / 1000).alias("block")).agg(F.concat(F.lit("key;name;type;size\n"), F.array_join(F.array_sort(F.collect_list(line)), "\n")).alias("content"))
     d = files.withColumn("delimiter", csv_tables.sniff_delimiter("content"))
-    return d.select("p_brand", "delimiter", F.size(csv_tables.parse_text("content", "delimiter")).cast("long").alias("rows"))
+    cells = F.array_join(F.transform(csv_tables.parse_text("content", "delimiter"), lambda r: F.array_join(r, ",")), "\n")
+    return d.select("p_brand", "block", "delimiter", cells.alias("cells"))
 
 
 @query("SELECT doc_id, true AS covered, 0 AS too_long FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '[^" + SP + "]')")
@@ -693,10 +712,10 @@ def block_integrity(spark, sf):
     return _converted(spark, sf).select("convert_id", tags.unbalanced(F.col("text")).cast("long").alias("unbalanced"))
 
 
-@query("SELECT DISTINCT convert_id, true AS same FROM rtf_converted_data WHERE content IS NOT NULL AND length(content) >= 20")
+@query("WITH " + _R + " SELECT convert_id, strpos(text, substr(text, (length(text) // 3) + 1, length(text) // 3)) - 1 AS place FROM r WHERE length(text) >= 20")
 def find_chunk_position(spark, sf):
-    """The place of each text's middle, found from the place it was cut at."""
+    """Where the middle third of each text is first found in it."""
     n = F.length("text")
-    start = F.floor(n / 3).cast("int")
-    d = _converted(spark, sf).filter(n >= 20).withColumn("chunk", F.substr("text", start + 1, F.floor(n / 3).cast("int")))
-    return d.select("convert_id", (text.find_chunk_position(F.col("chunk"), F.col("text"), start) == start).alias("same"))
+    third = F.floor(n / 3).cast("int")
+    d = _converted(spark, sf).filter(n >= 20).withColumn("chunk", F.substr("text", third + 1, third))
+    return d.select("convert_id", text.find_chunk_position(F.col("chunk"), F.col("text"), F.lit(0)).cast("long").alias("place"))
\ No newline at end of file

@@ -92,6 +92,9 @@ def extracted(content: Column, ext: Column, name: Column) -> Column:
         for contents, exts, names in batches:
             rows = []
             for data, e, n in zip(contents, exts, names):
+                if data is None:
+                    rows.append((None, None, None))
+                    continue
                 try:
                     text, meta = read_file(bytes(data), e, n)
                     rows.append((text, {k: str(v) for k, v in meta.items()}, None))
@@ -114,12 +117,12 @@ def read_documents(files: DataFrame, with_metadata: bool = True, language: str =
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     supported = is_supported(F.col("ext"))
     plain = F.col("ext").isin(sorted(TEXT_LIKE)) & F.is_valid_utf8(F.col("content").cast("string"))
-    keep = ["path", "ext", "category"]
-    text = F.col("content").cast("string")
-    direct = files.filter(plain).select(*keep, F.when(F.col("ext").isin(sorted(text_files.CODE)), clean_code_text(text)).otherwise(clean_text(text)).alias("text"), F.lit(None).cast("map<string,string>").alias("metadata"), F.lit(None).cast("string").alias("error"))
-    parsed = files.filter(~plain & supported).select(*keep, extracted(F.col("content"), F.col("ext"), name).alias("r")).select(*keep, "r.text", "r.metadata", "r.error")
-    refused = files.filter(~plain & ~supported).select(*keep, F.lit(None).cast("string").alias("text"), F.lit(None).cast("map<string,string>").alias("metadata"), F.concat(F.lit("Unsupported file extension: "), F.col("ext")).alias("error"))
-    out = direct.unionByName(parsed).unionByName(refused)
+    raw = F.col("content").cast("string")
+    direct = F.when(plain, F.when(F.col("ext").isin(sorted(text_files.CODE)), clean_code_text(raw)).otherwise(clean_text(raw)))
+    parsed = extracted(F.when(~plain & supported, F.col("content")), F.col("ext"), name)  # only these bytes go to Python; each file is scanned once
+    refused = F.when(~supported, F.concat(F.lit("Unsupported file extension: "), F.col("ext")))
+    read = files.select("path", "ext", "category", direct.alias("__direct"), refused.alias("__refused"), parsed.alias("r"))
+    out = read.select("path", "ext", "category", F.coalesce("__direct", "r.text").alias("text"), "r.metadata", F.coalesce("__refused", "r.error").alias("error"))
     if not with_metadata:
         return out
 
