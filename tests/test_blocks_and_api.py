@@ -205,3 +205,32 @@ def test_arriving_files_that_fail_are_kept(spark, tmp_path):
     chunk_arrivals(spark, str(src), out, str(tmp_path / "state")).awaitTermination()
     rejects = spark.read.parquet(out + "_rejects").collect()
     assert spark.read.parquet(out).count() == 1 and len(rejects) == 1 and rejects[0]["path"].endswith("b.docx") and rejects[0]["error"]
+
+
+def test_ocr_in_the_pipeline(spark, tmp_path):
+    from pyspark.sql import Observation
+
+    from textloom.api import DocumentProcessor
+    from textloom.operators.ocr import replace_tags
+
+    for name, data in {"a.txt": b"see [Image:p.png] and [Image:q.png] and [Image:gone.png]", "p.png": b"\x89PNG one", "q.png": b"bad", "r.xyz": b"raw"}.items():
+        (tmp_path / name).write_bytes(data)
+
+    def engine(data):
+        if data == b"bad":
+            raise RuntimeError("unreadable")
+        return data[-3:].decode()
+
+    told = []
+    p = DocumentProcessor(language="en", engine=engine, extra_readers={".XYZ": lambda d, e: (d.decode() + "!", {})})
+    text = p.extract_text(str(tmp_path / "a.txt"), ocr=True, progress=lambda *x: told.append(x))
+    assert text == "see [Figure:one] and [Image:q.png] and [Image:gone.png]" and [x[:2] for x in told] == [(1, 3), (2, 3), (3, 3)]
+    assert p.extract_text(str(tmp_path / "a.txt")).count("[Image:") == 3 and p.extract_text(str(tmp_path / "p.png"), ocr=True) == "[Figure:one]"
+    rows = {r["path"].rpartition("/")[2]: r["text"] for r in p.read(spark, str(tmp_path), ocr=True).collect()}
+    assert rows["a.txt"] == text and rows["p.png"] == "[Figure:one]" and rows["r.xyz"] == "raw!"
+    assert not DocumentProcessor().is_supported("xyz") and p.is_supported("xyz")
+    docs = spark.createDataFrame([(i, "x [Image:p]" if i % 3 else "plain") for i in range(90)] + [(91, None)], "doc_id long, text string")
+    images = spark.createDataFrame([("p", bytearray(b"one"))], "path string, content binary")
+    seen = Observation("ocr")
+    got = replace_tags(docs, images, engine, failures=seen).collect()
+    assert len(got) == 91 and sum(r["text"] == "x [Figure:one]" for r in got) == 60 and seen.get == {"images": 1, "failed": 0}

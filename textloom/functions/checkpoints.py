@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder. One of our own is set only where the session names none, as in tests."""
+    """The session's checkpoint folder. One of our own is set only where the session names none and all of it runs on this machine,
+    as in tests; a cluster must name a folder that its executors share."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master or "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder, and a machine-local one cannot be read by other executors")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="textloom-checkpoints-"))
     return sc.getCheckpointDir()
 

@@ -146,14 +146,17 @@ def with_positions(chunks: list[str], extension: str, overlap: int, tags: Tags =
 
 
 def chunks_column(text: Column, extension: Column, size: int = 1000, overlap: int = 200, preserve_tables: bool = True, positions: bool = False, tags: Tags = DEFAULT) -> Column:
-    """array<string>, or array<struct> with positions, of the chunks of each document."""
+    """array<string>, or array<struct> with positions, of the chunks of each document; null for null."""
 
     @F.pandas_udf(POSITIONS if positions else T.ArrayType(T.StringType()))
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for texts, exts in batches:
             out = []
             for t, e in zip(texts, exts):
-                chunks = chunk_document(t or "", e, size, overlap, preserve_tables, tags)
+                if t is None:
+                    out.append(None)
+                    continue
+                chunks = chunk_document(t, e, size, overlap, preserve_tables, tags)
                 out.append(with_positions(chunks, (e or "").lower().lstrip("."), overlap, tags) if positions else chunks)
             yield pd.Series(out, dtype=object)
 
@@ -165,17 +168,16 @@ def chunk_documents(
 ) -> DataFrame:
     """(key, chunk_index, text) of every document, with positions if asked for. Documents that fit one chunk and hold no
     bracket, angle bracket, pipe or fence are one stripped chunk by definition: they stay in the JVM. The rest goes through
-    one Arrow UDF a document; the explode comes last."""
+    one Arrow UDF a document; the explode comes last. Texts are scanned once: the UDF gets nulls for what it need not see."""
     ext = F.col(extension) if extension else F.lit("txt")
     base = documents.select(F.col(key).alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("__text"), F.lower(F.coalesce(ext, F.lit(""))).alias("__ext"))
     simple = (F.length("__text") <= size) & ~F.col("__text").rlike(r"[\[<|`]") & ~F.regexp_replace("__ext", r"^\.+", "").isin(*TABLE_FILES) & F.lit(tags == DEFAULT)
-    whole = base.filter(simple)
-    python = base.filter(~simple).select("__key", chunks_column(F.col("__text"), F.col("__ext"), size, overlap, preserve_tables, positions, tags).alias("__chunks"))
+    python = chunks_column(F.when(~simple, F.col("__text")), F.col("__ext"), size, overlap, preserve_tables, positions, tags)
     body = strip(F.col("__text"))
     if positions:
         lines = F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit(""))) + 1
         one = F.array(F.struct(body.alias("text"), F.lit(1).alias("page_number"), F.lit(1).alias("line_start"), lines.cast("int").alias("line_end"), F.lit(0).alias("global_start"), (F.length(body) - 1).alias("global_end"), F.lit(0).alias("chunk_index")))
-        cut = whole.select("__key", one.alias("__chunks")).union(python)
+        cut = base.select("__key", F.coalesce(python, one).alias("__chunks"))
         return cut.select(F.col("__key").alias(key), F.explode("__chunks").alias("c")).select(key, "c.*")
-    cut = whole.select("__key", F.array(body).alias("__chunks")).union(python)
+    cut = base.select("__key", F.coalesce(python, F.array(body)).alias("__chunks"))
     return cut.select(F.col("__key").alias(key), F.posexplode("__chunks").alias("chunk_index", "text"))

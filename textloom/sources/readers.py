@@ -64,7 +64,10 @@ def register(ext: str, reader: Reader) -> None:
     READERS[ext.lower().lstrip(".")] = reader
 
 
-def read_file(data: bytes, ext: str, name: str = "") -> tuple[str, dict[str, str]]:
+def read_file(data: bytes, ext: str, name: str = "", extra: dict[str, Reader] | None = None) -> tuple[str, dict[str, str]]:
+    """(text, metadata) of one file. `extra` readers come before those that are registered for all."""
+    if extra and ext in extra:
+        return extra[ext](data, ext)
     if ext in READERS:
         return READERS[ext](data, ext)
     if ext in IMAGES:
@@ -84,7 +87,7 @@ def render_metadata(metadata: dict[str, str], language: str = "ko") -> str:
 RESULT = T.StructType([T.StructField("text", T.StringType()), T.StructField("metadata", T.MapType(T.StringType(), T.StringType())), T.StructField("error", T.StringType())])
 
 
-def extracted(content: Column, ext: Column, name: Column) -> Column:
+def extracted(content: Column, ext: Column, name: Column, extra: dict[str, Reader] | None = None) -> Column:
     """struct<text, metadata, error>"""
 
     @F.pandas_udf(RESULT)
@@ -96,7 +99,7 @@ def extracted(content: Column, ext: Column, name: Column) -> Column:
                     rows.append((None, None, None))
                     continue
                 try:
-                    text, meta = read_file(bytes(data), e, n)
+                    text, meta = read_file(bytes(data), e, n, extra)
                     rows.append((text, {k: str(v) for k, v in meta.items()}, None))
                 except Exception as error:  # a broken file must not end the job
                     rows.append((None, None, f"{type(error).__name__}: {error}"[:500]))
@@ -112,14 +115,15 @@ def scan(spark: SparkSession, path: str, pattern: str | None = None) -> DataFram
     return files.withColumn("ext", extension(F.col("path"))).withColumn("category", file_category(F.col("ext")))
 
 
-def read_documents(files: DataFrame, with_metadata: bool = True, language: str = "ko") -> DataFrame:
+def read_documents(files: DataFrame, with_metadata: bool = True, language: str = "ko", extra: dict[str, Reader] | None = None) -> DataFrame:
     """(path, ext, category, text, metadata, error) of each file."""
     name = F.regexp_extract("path", r"([^/]+)$", 1)
-    supported = is_supported(F.col("ext"))
-    plain = F.col("ext").isin(sorted(TEXT_LIKE)) & F.is_valid_utf8(F.col("content").cast("string"))
+    own = F.col("ext").isin(sorted(extra or ()))
+    supported = is_supported(F.col("ext")) | own
+    plain = ~own & F.col("ext").isin(sorted(TEXT_LIKE)) & F.is_valid_utf8(F.col("content").cast("string"))
     raw = F.col("content").cast("string")
     direct = F.when(plain, F.when(F.col("ext").isin(sorted(text_files.CODE)), clean_code_text(raw)).otherwise(clean_text(raw)))
-    parsed = extracted(F.when(~plain & supported, F.col("content")), F.col("ext"), name)  # only these bytes go to Python; each file is scanned once
+    parsed = extracted(F.when(~plain & supported, F.col("content")), F.col("ext"), name, extra)  # only these bytes go to Python; each file is scanned once
     refused = F.when(~supported, F.concat(F.lit("Unsupported file extension: "), F.col("ext")))
     read = files.select("path", "ext", "category", direct.alias("__direct"), refused.alias("__refused"), parsed.alias("r"))
     out = read.select("path", "ext", "category", F.coalesce("__direct", "r.text").alias("text"), "r.metadata", F.coalesce("__refused", "r.error").alias("error"))
