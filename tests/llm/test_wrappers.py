@@ -108,3 +108,11 @@ def test_items_are_found_by_their_wrappers(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapGroupsInPandas" in plan and "RLIKE" not in plan  # the wrappers decide, not a pattern on the stream
     assert {tuple(r) for r in found.collect()} == {("rtf_converted_data", 1), ("rtf_converted_data", 3), ("docx_elements", 7)}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab1 .?!…,\n'’é가", max_size=30))
+def test_plain_units_are_read_alike_on_both_ways(text):
+    for unit in text.split("\n"):
+        if not W._MARK.search("\n" + unit):
+            assert {tuple(s) for s in W.plain_streams(unit)} == {tuple(s) for s in W.streams_of_unit(unit)}

@@ -47,6 +47,7 @@ _BLANK = re.compile(r"\n[ \t]*\n")
 _OPEN_TAG = re.compile(r"<[A-Za-z!/][^<>]*$")
 _UNDERLINE = re.compile(r"(?:={3,}|-{3,})[ \t]*$")
 _SENTENCE = re.compile(r"[.!?…。！？]\s")
+_SENTENCES = re.compile(r"[^\W_][^\w\s]*?[.!?…。！？]\s[\W_]*(?=[^\W_])")
 _ENDING = re.compile(r"^(?:[.,?…’]+|'(?!')|[!:;]+(?=\s))+")
 
 
@@ -128,10 +129,28 @@ def streams_of_unit(unit: str) -> Iterator[list[str]]:
         yield out
 
 
+def plain_streams(unit: str) -> list[list[str]]:
+    """The streams of a unit without any mark, as `streams_of_unit` has them: a slot a sentence."""
+    first = _WORD.search(unit)
+    if first is None:
+        return []
+    sentences = len(_SENTENCES.findall(unit))
+    if sentences or any(map(str.isspace, unit[first.start() :])):
+        return [[PHRASE]] * (sentences + 1)
+    return [[NUMBER]] if first[0].isdigit() and first[0].isascii() and first.end() == len(unit) else [[WORD]]
+
+
 def streams_of(text: str) -> list[list[str]]:
     """Streams of the units of a text, without the project's own tags; blocks end at blank lines."""
-    blocks = _BLANK.split(_OWN.sub("x", text))
-    return [s for b in blocks if b.strip() for u in units_of(b.strip("\n")) for s in streams_of_unit(u)]
+    out = []
+    for block in _BLANK.split(_OWN.sub("x", text) if "[" in text or "<" in text else text):
+        if not block.strip():
+            continue
+        block = block.strip("\n")
+        units = units_of(block) if _MARK.search("\n" + block) else block.split("\n")
+        for unit in units:
+            out += streams_of_unit(unit) if _MARK.search("\n" + unit) else plain_streams(unit)
+    return out
 
 
 def sample_of(wrapper: list, leave_out: frozenset[str] = frozenset(), groups: bool = True) -> tuple[str, list[tuple[str, int, int]]]:
