@@ -48,6 +48,8 @@ CHAINS = [("cp1252", "utf-8"), ("latin-1", "utf-8"), ("cp949", "utf-8"), ("mac-r
           ("cp1250", "utf-8"), ("cp1252", "shift_jis"), ("utf-16-be", "utf-16-le"), ("utf-16-le", "utf-16-be"), ("gbk", "utf-8"), ("shift_jis", "utf-8")]
 TWICE = [("cp1252", "utf-8"), ("latin-1", "utf-8"), ("mac-roman", "utf-8"), ("cp850", "utf-8")]
 
+_READS = sorted({read for read, _ in CHAINS + TWICE})
+
 # a word is a run of letters, marks and anything beyond ASCII; RTF control words and escapes are passed by
 _WORD = re.compile(r"\\[A-Za-z]+-?[0-9]*\??|\\'[0-9a-fA-F]{2}|((?:[A-Za-z]|[^\x00-\x7f])+(?:\?(?:[A-Za-z]|[^\x00-\x7f])+)*)")
 _LOST = re.compile(r"[^\W\d_]\?[^\W\d_]")
@@ -75,28 +77,43 @@ def _bytes_of(codec: str) -> dict[int, bytes]:
 _MANY = {"cp949", "utf-16-be", "utf-16-le", "gbk", "shift_jis", "utf-8"}
 
 
-def undo(text: str, read: str, written: str) -> str | None:
-    """The text whose bytes in `written`, read as `read`, give `text`; null if there is none or nothing changes."""
+_CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\ufffd]")
+
+
+def _encoded(text: str, read: str) -> bytes | None:
     try:
         if read in _MANY:
-            raw = text.encode(read)
-        else:
-            table = _bytes_of(read)
-            raw = b"".join([table[ord(c)] for c in text])
-        out = raw.decode(written)
+            return text.encode(read)
+        table = _bytes_of(read)
+        return b"".join([table[ord(c)] for c in text])
     except (KeyError, UnicodeError):
         return None
-    return None if out == text or "\ufffd" in out or any((c < " " and c not in "\t\n\r") or "\x7f" <= c <= "\x9f" for c in out) else out
+
+
+def _decoded(text: str, raw: bytes | None, written: str) -> str | None:
+    if raw is None:
+        return None
+    try:
+        out = raw.decode(written)
+    except UnicodeError:
+        return None
+    return None if out == text or _CONTROL.search(out) else out
+
+
+def undo(text: str, read: str, written: str) -> str | None:
+    """The text whose bytes in `written`, read as `read`, give `text`; null if there is none or nothing changes."""
+    return _decoded(text, _encoded(text, read), written)
 
 
 def candidates(word: str) -> list[tuple[int, str]]:
     """(chain, text) of each chain that can be undone; chains from len(CHAINS) on are those of two misreadings."""
     out = []
+    raw = {read: _encoded(word, read) for read in _READS}  # each reading is undone once, whatever was written
     for k, (read, written) in enumerate(CHAINS):
-        if (t := undo(word, read, written)) is not None:
+        if (t := _decoded(word, raw[read], written)) is not None:
             out.append((k, t))
     for k, (read, written) in enumerate(TWICE):
-        if (t := undo(word, read, written)) is not None and (u := undo(t, read, written)) is not None:
+        if (t := _decoded(word, raw[read], written)) is not None and (u := undo(t, read, written)) is not None:
             out.append((len(CHAINS) + k, u))
     return out
 
