@@ -134,7 +134,7 @@ def files_of(spark: SparkSession, sf: str, ext: str) -> DataFrame:
     """(path, ext, category, content): one file for each brand and thousand of keys, so that no file grows with the table."""
     row = F.array(F.col("p_partkey").cast("string"), "p_name", "p_type")
     rows = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", row.alias("row")))), lambda x: x["row"])
-    brands = table(spark, sf, "part").withColumn("p_brand", F.concat("p_brand", F.lit("-"), F.floor(F.col("p_partkey") / 1000).cast("string"))).groupBy("p_brand").agg(rows.alias("rows"))
+    brands = table(spark, sf, "part").withColumn("p_brand", F.concat("p_brand", F.lit("_"), F.floor(F.col("p_partkey") / 1000).cast("string"))).groupBy("p_brand").agg(rows.alias("rows"))
     write = WRITERS[ext]
 
     @F.pandas_udf(BinaryType())
@@ -153,7 +153,7 @@ def _reader(ext: str) -> Callable[[SparkSession, str], DataFrame]:
     return read
 
 
-_ROWS = "SELECT p_brand || '-' || (p_partkey // 1000) AS p_brand, list([p_partkey::VARCHAR, p_name, p_type] ORDER BY p_partkey) AS rows FROM part GROUP BY ALL"
+_ROWS = "SELECT p_brand || '_' || (p_partkey // 1000) AS p_brand, list([p_partkey::VARCHAR, p_name, p_type] ORDER BY p_partkey) AS rows FROM part GROUP BY ALL"
 _E = "replace(replace(replace(c, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 _NL = "chr(10)"
 
